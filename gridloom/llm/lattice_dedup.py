@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import compared
 from .components import components
 from .textvec import mix
 from .work import table, written
@@ -117,85 +118,14 @@ def probes(x: np.ndarray, radius: float, cell: float) -> tuple[np.ndarray, np.nd
     return np.concatenate(which), h, np.concatenate(own)
 
 
-def links(ids: np.ndarray, unit: np.ndarray, copies: np.ndarray, role: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """In one block: the probes (role & 1) with links to homes (role & 2), how many, and the root of each one's local component."""
-    q, h = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    pi, pj = np.nonzero(unit[q] @ unit[h].T >= least)
-    i, j = q[pi], h[pj]
-    other = ids[i] != ids[j]
-    i, j = i[other], j[other]
-    if not len(i):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    low, number = np.unique(ids, return_inverse=True)  # a row may be there as probe and as home
-    label, a, b = np.arange(len(low)), number[i], number[j]
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, before[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            break
-    count = np.bincount(a, weights=copies[j], minlength=len(low)).astype(np.int64)
-    hit = np.unique(a)
-    return low[hit], count[hit], low[label[hit]]
-
-
-def compared(rows: DataFrame, least, unpack) -> DataFrame:
-    """``rows``: key, rep, copies, own, x (binary). Blocks of rows of one key, compared: rep, n, root.
-
-    Keys with more than ``MOST`` rows become a grid of (probe part, home part) blocks. ``unpack`` turns the
-    binary into unit vectors; ``least`` gives the smallest product of a link from their length.
-    """
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
-    large = written(large.select("key", F.ceil(F.col("n") / MOST).cast("int").alias("g")), "large-keys")
-    g = F.coalesce("g", F.lit(1))
-    mine = F.pmod(F.xxhash64("rep"), g).cast("int")
-    one = F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("h"), F.when(F.col("own"), 3).otherwise(1).alias("role")))
-    span = F.sequence(F.lit(0), g - 1)
-    as_probe = F.transform(span, lambda k: F.struct(mine.alias("q"), k.alias("h"), F.lit(1).alias("role")))
-    as_home = F.when(F.col("own"), F.transform(span, lambda k: F.struct(k.alias("q"), mine.alias("h"), F.lit(2).alias("role")))).otherwise(F.array().cast("array<struct<q:int,h:int,role:int>>"))
-    dealt = rows.join(large, "key", "left").withColumn("d", F.explode(F.when(g == 1, one).otherwise(F.concat(as_probe, as_home))))
-    dealt = dealt.select(F.struct("key", "d.q", "d.h").alias("block"), "key", "rep", "copies", "x", "d.role").withColumn("block", F.xxhash64("block"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[pa.Table]:
-            held: list[pa.RecordBatch] = []
-            for b in batches:
-                block = b.column(0).to_numpy()
-                if not len(block):
-                    continue
-                if held and held[0].column(0)[0].as_py() != block[0]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                edges = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
-                for a, z in zip(edges[:-1], edges[1:]):
-                    if z == len(block):
-                        held.append(b.slice(a, z - a))
-                    elif held or z - a > 1:
-                        yield pa.Table.from_batches([*held, b.slice(a, z - a)])
-                        held = []
-            if held:
-                yield pa.Table.from_batches(held)
-
-        out: list[list[np.ndarray]] = [[], [], []]
-        for t in blocks():
-            role, key = t.column("role").to_numpy(), t.column("key").to_numpy()
-            if len(role) < 2 or not (role & 2).any():
-                continue
-            x = t.column("x").combine_chunks()
-            for k in np.unique(key):  # one, but for colliding hashes
-                at = np.flatnonzero(key == k)
-                unit = unpack(b"".join(x.take(pa.array(at)).to_pylist()), len(at))
-                for o, f in zip(out, links(t.column("rep").to_numpy()[at], unit, t.column("copies").to_numpy()[at], role[at], least(unit.shape[1]))):
-                    o.append(f)
-            if sum(map(len, out[0])) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["rep", "n", "root"])
-                out = [[], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["rep", "n", "root"])
-
-    return written(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "rep long, n long, root long"), "links")
+def alike(least, unpack):
+    """For ``compared``: pairs of unit vectors whose product is at least ``least(dim)``."""
+
+    def pairs(raw: list[bytes], q: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        unit = unpack(b"".join(raw), len(raw))
+        return np.nonzero(unit[q] @ unit[h].T >= least(unit.shape[1]))
+
+    return pairs
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell: float = 0.25, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -223,9 +153,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell: float = 0.25
                         cols = [pa.array(key), part.column(2).take(pa.array(which)), pa.array(own), raw.take(pa.array(which))]
                         yield pa.RecordBatch.from_arrays(cols, names=["key", "rep", "own", "x"])
 
-    near = once.mapInArrow(cells, "key long, rep long, own boolean, x binary").withColumn("copies", F.lit(1).cast("long"))
+    near = once.mapInArrow(cells, "key long, rep long, own boolean, x binary").withColumns({"copies": F.lit(1).cast("long"), "asks": F.lit(True)})
     # a byte a coordinate moves each vector by at most sqrt(dim) / 254
-    met = compared(near, lambda dim: threshold - 2.1 * np.sqrt(dim) / 254 - dim / 254**2, lambda raw, n: np.frombuffer(raw, np.int8).reshape(n, -1).astype(np.float32) / 127)
+    met = compared(near, alike(lambda dim: threshold - 2.1 * np.sqrt(dim) / 254 - dim / 254**2, lambda raw, n: np.frombuffer(raw, np.int8).reshape(n, -1).astype(np.float32) / 127), MOST)
     groups = components(met.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
 
     def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +169,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell: float = 0.25
 
     # the candidate groups keep labels and lengths apart, since cells do
     inside = once.join(groups.withColumnRenamed("id", "rep"), "rep").select("component", "rep", "copies", "v")
-    inside = inside.mapInArrow(doubles, "key long, rep long, copies long, x binary").withColumn("own", F.lit(True))
-    found = compared(inside, lambda dim: threshold, unit)
+    inside = inside.mapInArrow(doubles, "key long, rep long, copies long, x binary").withColumns({"own": F.lit(True), "asks": F.lit(True)})
+    found = compared(inside, alike(lambda dim: threshold, unit), MOST)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     known = once.join(counts, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")

@@ -6,11 +6,11 @@ text is one shingle), each with a weight: 1 (``weights="set"``, similarity is Ja
 rank; those under the element's weight and under a rank bound that yields about k ln k + 2k darts a document
 count. Every dart belongs to one of k coordinates; the earliest of each is the signature.
 
-Equal word sequences are made one first. Signature bands meet in buckets, and in each bucket documents are
-compared with one centre, never all with all; the comparison is exact, on the whole texts. Where that leaves a
-bucket with more than one component, the members outside its largest component are compared with the members of
-all others, or, in a bucket where that is much more than its size, with one further centre after the other until
-no component is left uncompared. Components of the verified links are the classes.
+Equal word sequences are made one first. Signature bands meet in buckets, and each bucket's documents are first
+compared with one centre. Where that leaves a bucket with several components, the members outside its largest one
+are compared with all others of the bucket, in bounded blocks that give a root for each member and never a row per
+pair. All comparisons are exact, on whole texts, and no pair of a bucket that could join two components is left
+out. Components of the links are the classes.
 
 Defined results: null counts as empty; all texts without words are one class. One row per row of the input,
 with doc_id, class_id (smallest id of the class), class_size and kept. Rows repeated under one id are kept
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import compared
 from .components import components
 from .textvec import SPACE, mix, shingles, slices, utf8, words
 from .work import table, written
 
-SIZE, K, BANDS, THRESHOLD = 5, 240, 40, 0.8
-#: Cross-component pairs of a bucket are all compared at once up to so many times its members.
-AT_ONCE = 64
+SIZE, K, BANDS, THRESHOLD = 5, 120, 24, 0.8
+#: Rows in a block of a bucket, at most.
+MOST = 512
 WORD = ~SPACE
 
 
@@ -42,7 +43,7 @@ def _unit(h: np.ndarray) -> np.ndarray:
 
 def _edges(width: float, most: float) -> list[float]:
     """Rank intervals: powers of two while the region's area stays under 4, then equal steps."""
-    step, out = 4 / width, [0.0, 2.0**-8]
+    step, out = 4 / width, [0.0, 2.0**-4]
     while out[-1] < most:
         out.append(out[-1] + min(out[-1], step))
     return out
@@ -77,8 +78,11 @@ def dart_minhash(h: np.ndarray, rows: np.ndarray, n_rows: int, k: int = K, weigh
         while len(up := np.flatnonzero(ew > low)):
             lim = bound[er[up]]
             edges = _edges(width, float(lim.max()))
+            at = up
             for a, b in zip(edges[:-1], edges[1:]):
-                at = up[lim > a]
+                if a:
+                    still = lim > a
+                    at, lim = at[still], lim[still]
                 if not len(at):
                     break
                 seed = np.frombuffer(np.array([low, a]).tobytes(), np.uint64)
@@ -205,16 +209,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = written(members.select("rep").distinct(), "near-candidates")
     texts = written(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     tested = _verified(pairs, texts, weights, size, threshold)
-    used = starred.select("bucket", F.col("centre").alias("rep"))
-    while True:
-        parts = components(tested.where("ok").select("a", "b"))
-        pairs, centres = _uncompared(members, parts, tested, used)
-        if pairs is None and centres is None:
-            break
-        if pairs is not None:
-            tested = written(tested.unionByName(_verified(pairs, texts, weights, size, threshold)), "near-tested")
-        if centres is not None:
-            used = written(used.unionByName(centres), "near-used")
+    parts = components(tested.where("ok").select("a", "b"))
+    more = compared(_open_buckets(members, parts, texts), _similar(weights, size, threshold), MOST)
+    more = more.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    parts = components(tested.where("ok").select("a", "b").unionByName(more))
     classes = first.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("whole", "copies", F.coalesce("component", "rep").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     classes = written(classes.join(sizes, "class_id").select("whole", "class_id", "class_size"), "near-classes")
@@ -222,23 +220,46 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
-def _uncompared(members: DataFrame, parts: DataFrame, tested: DataFrame, used: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Pairs of different components that share a bucket and were not compared yet, and the new centres among them; None where there are none."""
+def _open_buckets(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows for ``compared``: the members of buckets that hold several components. All can be found; those outside the largest one ask."""
     labelled = members.select("bucket", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
     per = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = written(mixed.select("bucket", F.col("top.part").alias("top"), ((F.col("all") - F.col("top.n")) <= AT_ONCE).alias("small")), "near-mixed")
-    inside = written(labelled.join(mixed, "bucket"), "near-mixed-members")
-    odd = inside.where("small AND part <> top").select("bucket", F.col("rep").alias("x"), F.col("part").alias("px"))
-    small = odd.join(inside.where("small").select("bucket", F.col("rep").alias("y"), F.col("part").alias("py")), "bucket").where("px <> py")
-    unused = inside.where("NOT small").join(used, ["bucket", "rep"], "left_anti")
-    centres = unused.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"), F.col("part").alias("part"))).alias("c"))
-    centres = written(centres.select("bucket", F.col("c.rep").alias("rep"), F.col("c.part").alias("part")), "near-centres")
-    rest = inside.where("NOT small").select("bucket", F.col("rep").alias("y"), F.col("part").alias("py"))
-    star = centres.select("bucket", F.col("rep").alias("x"), F.col("part").alias("px")).join(rest, "bucket").where("px <> py")
-    pairs = small.unionByName(star).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    new = written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-    return None if new.isEmpty() else new, None if centres.isEmpty() else centres.select("bucket", "rep")
+    mixed = per.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = written(mixed.select("bucket", F.col("top.part").alias("top")), "near-mixed")
+    inside = written(labelled.join(mixed, "bucket").select(F.col("bucket").alias("key"), "rep", (F.col("part") != F.col("top")).alias("asks")), "near-mixed-members")
+    return inside.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("x")), "rep").withColumns({"copies": F.lit(1).cast("long"), "own": F.lit(True)})
+
+
+def _similar(weights: str, size: int, threshold: float):
+    """For ``compared``: pairs of texts whose exact similarity reaches the threshold."""
+
+    def pairs(raw: list[bytes], q: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, r, w, _, n = elements(pa.array(raw, pa.large_binary()).cast(pa.large_string()), weights, size)
+        if w is None:
+            order = np.lexsort((s, r))
+            s, r = s[order], r[order]
+            new = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])])
+            s, r = s[new], r[new]
+            w = np.ones(len(s))
+        _, number = np.unique(s, return_inverse=True)
+        total = np.bincount(r, weights=w, minlength=n)
+        edge = np.searchsorted(r, np.arange(n + 1))
+        mine = np.concatenate([number[edge[j] : edge[j + 1]] for j in h])
+        weight = np.concatenate([w[edge[j] : edge[j + 1]] for j in h]).astype(np.float32)
+        start = np.cumsum([0, *(edge[h + 1] - edge[h])])[:-1]
+        mark = np.zeros(int(number.max()) + 1, np.float32)
+        pi, pj = [], []
+        for k, i in enumerate(q):
+            own = number[edge[i] : edge[i + 1]]
+            mark[own] = w[edge[i] : edge[i + 1]]
+            both = np.add.reduceat(np.minimum(mark[mine], weight), start, dtype=np.float64)
+            mark[own] = 0
+            j = np.flatnonzero(both >= (threshold - 1e-12) * (total[i] + total[h] - both))
+            pi.append(np.full(len(j), k))
+            pj.append(j)
+        return np.concatenate(pi), np.concatenate(pj)
+
+    return pairs
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
