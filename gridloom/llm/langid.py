@@ -153,7 +153,8 @@ class Model:
 
 
 def learn(docs: DataFrame, learns, most_rows: int = 2000, most_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    texts, langs = labelled_sample(docs.where(learns & F.col(text_col).isNotNull()), F.col(lang_col), most_rows, most_chars, id_col, text_col)
+    docs = docs.where(learns & F.col(text_col).isNotNull())
+    texts, langs = labelled_sample(docs, docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("y")), most_rows, most_chars, id_col, text_col)
     return Model(texts, langs)
 
 

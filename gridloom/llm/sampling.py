@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, label: Column, most_rows: int, most_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list]:
-    """Texts and labels of a sample that depends on ids alone: the rows whose hashed id comes first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list]:
+    """Texts and labels of a sample that depends on ids alone: those whose hashed id comes first.
 
-    ``most_rows`` a label and ``most_chars`` in all are its documented bounds. Ids and lengths are ranked
-    first; then only the chosen rows' whole texts are fetched.
+    ``labels``: id (string), y. ``most_rows`` a label and ``most_chars`` in all are the documented bounds. Ids are
+    ranked without texts; lengths and then whole texts are fetched by broadcast joins on the chosen few.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.char_length(F.coalesce(text_col, F.lit(""))).alias("n"), label.alias("y")).where("y IS NOT NULL AND id IS NOT NULL")
-    labels = sorted(r.y for r in rows.select("y").distinct().collect())
-    chosen = []
-    for y in labels:
-        used = 0
-        for r in rows.where(F.col("y") == F.lit(y)).orderBy(F.xxhash64("id"), "id").limit(most_rows).collect():
-            used += r.n
-            if used > most_chars // max(1, len(labels)) and chosen and chosen[-1][1] == y:
-                break
-            chosen.append((r.id, y))
-    if not chosen:
+    labels = labels.where("y IS NOT NULL AND id IS NOT NULL")
+    first = []
+    for y in sorted(r.y for r in labels.select("y").distinct().collect()):
+        rows = labels.where(F.col("y") == F.lit(y)).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_rows).collect()
+        first += [(r.id, y, k) for k, r in enumerate(rows)]
+    if not first:
         return [], []
-    wanted = spark.createDataFrame(chosen, ["id", "y"]).dropDuplicates(["id"])
-    got = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(wanted), "id").orderBy("id", "t").collect()
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    wanted = spark.createDataFrame(first, ["id", "y", "k"]).dropDuplicates(["id"]).coalesce(1)
+    lengths = named.select("id", F.char_length("t").alias("n")).join(F.broadcast(wanted), "id").collect()
+    share, used, chosen = most_chars // len({y for _, y, _ in first}), {}, []
+    for r in sorted(lengths, key=lambda r: (r.y, r.k)):
+        used[r.y] = used.get(r.y, 0) + r.n
+        if used[r.y] <= share or used[r.y] == r.n:
+            chosen.append((r.id, r.y))
+    got = named.join(F.broadcast(spark.createDataFrame(chosen, ["id", "y"]).dropDuplicates(["id"]).coalesce(1)), "id").collect() if chosen else []
+    got.sort(key=lambda r: (r.id, r.t))
     return [r.t for r in got], [r.y for r in got]

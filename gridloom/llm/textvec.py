@@ -74,6 +74,11 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of word bytes within a row: 64-bit hash of the lower-cased bytes, start, length, row."""
+    if len(data) > 4 << 20 and len(offsets) > 2:  # in parts of whole rows, so that work arrays stay small
+        cut = min(max(1, int(np.searchsorted(offsets, len(data) // 2))), len(offsets) - 2)
+        at = int(offsets[cut])
+        a, b = words(data[:at], offsets[: cut + 1], is_word), words(data[at:], offsets[cut:] - at, is_word)
+        return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1] + at]), np.concatenate([a[2], b[2]]), np.concatenate([a[3], b[3] + cut])
     inside = is_word[data]
     if not inside.any():
         none = np.zeros(0, np.int64)

@@ -174,14 +174,28 @@ class Net:
         return _sigmoid(worst.astype(float))
 
 
-def _log_odds(bucket: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Per bucket, from the documents that hold it."""
-    pair = np.unique(row.astype(np.int64) * BUCKETS + bucket)
-    y = toxic[pair // BUCKETS]
-    t = np.bincount(pair % BUCKETS, weights=y, minlength=BUCKETS)
-    c = np.bincount(pair % BUCKETS, weights=1 - y, minlength=BUCKETS)
-    odds = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / ((1 - toxic).sum() + 1))
-    return np.where(t + c >= 2, odds, 0).clip(-4, 4).astype(np.float32)
+def _log_odds(x: Features, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word and gram bucket, from the documents that hold it; a few documents at a time."""
+    held = {k: np.zeros((2, BUCKETS)) for k in ("word", "gram")}
+    first = np.concatenate([[0], np.cumsum(x.gram_count)[:-1]])
+    begin = np.concatenate([[0], np.cumsum(x.count)])
+    for a in range(0, x.n, 50):
+        b = min(a + 50, x.n)
+        row = np.repeat(np.arange(b - a), x.count[a:b])
+        pairs = np.unique(row * len(x.u) + x.inverse[begin[a] : begin[b]])
+        doc, word = pairs // len(x.u), pairs % len(x.u)
+        per = x.gram_count[word]
+        at = np.repeat(first[word], per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+        for kind, d, bucket in (("word", doc, x.word_bucket[word]), ("gram", np.repeat(doc, per), x.gram_bucket[at])):
+            one = np.unique(d * BUCKETS + bucket)
+            y = toxic[a + one // BUCKETS]
+            held[kind][0] += np.bincount(one % BUCKETS, weights=y, minlength=BUCKETS)
+            held[kind][1] += np.bincount(one % BUCKETS, weights=1 - y, minlength=BUCKETS)
+    out = []
+    for t, c in held.values():
+        odds = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / ((1 - toxic).sum() + 1))
+        out.append(np.where(t + c >= 2, odds, 0).clip(-4, 4).astype(np.float32))
+    return out[0], out[1]
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 11) -> Net | None:
@@ -192,15 +206,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 256
     x = Features(pa.array(texts, pa.large_string()))
     if not len(x.u):
         return None
-    word_row = np.repeat(np.arange(x.n), x.count)
-    net.words[:, 0] = _log_odds(x.word_bucket[x.inverse], word_row, y)
-    # a gram is in the documents that its words are in
-    pairs = np.unique(word_row * len(x.u) + x.inverse)
-    doc, word = pairs // len(x.u), pairs % len(x.u)
-    first = np.concatenate([[0], np.cumsum(x.gram_count)[:-1]])
-    per = x.gram_count[word]
-    at = np.repeat(first[word], per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-    net.chars[:, 0] = _log_odds(x.gram_bucket[at], np.repeat(doc, per), y)
+    net.words[:, 0], net.chars[:, 0] = _log_odds(x, y)
     e = net.inputs(x)
     risk = (e[0] + e[DIM])[:-1][x.inverse]
     window_score = np.array([risk[s : s + n].max() for s, n in zip(x.window_start, x.window_size)])
@@ -259,9 +265,8 @@ def _weights(net: Net) -> dict[str, np.ndarray]:
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> Net | None:
     """``labels`` has doc_id and toxic; only its documents are learned from."""
-    known = labels.select(F.col("doc_id").alias("_gl_id"), F.col("toxic").cast("int").alias("_gl_toxic")).where("_gl_id IS NOT NULL AND _gl_toxic IN (0, 1)").dropDuplicates(["_gl_id"])
-    joined = docs.select(F.col(id_col).alias("_gl_doc"), F.col(text_col).alias("_gl_text")).join(known, F.col("_gl_doc") == F.col("_gl_id"))
-    texts, y = labelled_sample(joined, F.col("_gl_toxic"), most_rows, most_chars, "_gl_doc", "_gl_text")
+    known = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("y")).where("y IN (0, 1)")
+    texts, y = labelled_sample(docs, known, most_rows, most_chars, id_col, text_col)
     return train(texts, y)
 
 
