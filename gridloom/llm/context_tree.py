@@ -9,7 +9,8 @@ last node that training saw. The code length of a text is minus its log2 probabi
 Counts are gathered over all training documents: (context, byte) counts by map-side and shuffled aggregation, so
 they grow with the corpus. The model that is broadcast keeps at most ``MOST`` contexts with their next byte a
 depth, the most frequent; below that bound nothing is left out, beyond it the tree ends earlier where it is
-sparse, and what the left-out children saw stands as one more child in the weighting.
+sparse, and what the left-out children saw stands as one more child in the weighting. No task sorts or gathers keys
+to find the most frequent: a histogram of their counts gives the bound.
 
 The base is a unigram model of words. Its counts aren't bounded: the ``FREQUENT`` most frequent words are broadcast,
 all others are joined by hash, so every token of every document meets its exact count.
@@ -193,8 +194,15 @@ def gathered(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def _top(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` most frequent keys, on the driver."""
-    t = df.select("key", "n").orderBy(F.desc("n"), "key").limit(most).toArrow()
+    """The most frequent keys, ``most`` of them at most, on the driver: those above a bound taken from a histogram of counts (an eighth of an octave a bin)."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    left, least = most, -1
+    for r in sorted(df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.level):
+        if r.k > left:
+            least = r.level
+            break
+        left -= r.k
+    t = df.where(level > least).select("key", "n").toArrow()
     k, n = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "n"))
     order = np.argsort(k)
     return k[order], n[order]
