@@ -113,7 +113,8 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: f
     """doc_id, tokens, p_<domain> for each, rate, copies.
 
     ``domains`` (id, domain) labels some documents; ``targets`` weighs the domains. ``total`` tokens are aimed
-    at: by default as many as there are; with ``grow_only`` the least number for which no domain must shrink.
+    at: by default as many as there are; with ``grow_only`` the least number for which no domain must shrink, and
+    no rate falls below 1.
     """
     names = sorted(targets)
     domains = domains.where(F.col("domain").isin(names) & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain"))
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: f
     if grow_only:
         total = max((h / x for h, x in zip(have, weights) if x > 0), default=0.0)
     target = weights * (have.sum() if total is None else total)
-    inverse = np.linalg.pinv(m)
+    inverse, least = np.linalg.pinv(m), 1.0 if grow_only else 0.0
     steps: list[list[float]] = []
     rate: Column = F.lit(1.0)
     for _ in range(rounds):
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: f
             break
         steps.append([float(x) for x in inverse @ gap])
         history = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-        rate = F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + sum((c * F.element_at(s, i + 1) for i, c in enumerate(cols)), F.lit(0.0))))
+        rate = F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(least), r + sum((c * F.element_at(s, i + 1) for i, c in enumerate(cols)), F.lit(0.0))))
         before, have = have, np.array(soft.agg(*[F.coalesce(F.sum(w * a * rate), F.lit(0.0)) for a in cols]).first())
         if np.abs(have - before).max() <= tolerance * max(1.0, target.sum()):
             break

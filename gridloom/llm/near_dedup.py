@@ -99,6 +99,9 @@ def dart_minhash(h: np.ndarray, rows: np.ndarray, n_rows: int, k: int = K, weigh
                     rank.append(r[ok])
                     dart.append(d[ok])
             low, width = (1.0, 1.0) if low == 0 else (low * 2, width * 2)
+        if not sum(map(len, place)):  # a text that repeats one shingle: its bound was far too low
+            bound[todo] *= 2
+            continue
         place_, rank_, dart_ = np.concatenate(place), np.concatenate(rank), np.concatenate(dart)
         first = np.full(n_rows * k, np.inf)
         np.minimum.at(first, place_, rank_)

@@ -31,6 +31,9 @@ BUCKETS = 1 << 17
 DIM, HIDDEN, ATTEND = 6, 6, 6
 GRAMS = (3, 4, 5)
 BLOCK = 4096
+PART = 20_000
+#: Steps of training at least.
+STEPS = 120
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,12 +53,17 @@ class Features:
         h, starts, lengths, rows = words(data, offsets, LETTER)
         self.u, one, self.inverse = distinct(h)
         self.word_bucket = (self.u % np.uint64(BUCKETS)).astype(np.int64)
-        parts = [grams(data, starts[one], lengths[one], n) for n in GRAMS]
-        code = np.concatenate([mix(c + np.uint64(n << 56)) for (c, _), n in zip(parts, GRAMS)])
-        self.gram_word = np.concatenate([o for _, o in parts])
-        self.gram_bucket = (code % np.uint64(BUCKETS)).astype(np.int64)
-        order = np.argsort(self.gram_word, kind="stable")
-        self.gram_word, self.gram_bucket = self.gram_word[order], self.gram_bucket[order]
+        owners, buckets = [], []
+        for a in range(0, len(one), PART):  # a part of the words at a time: grams are many
+            some = one[a : a + PART]
+            parts = [grams(data, starts[some], lengths[some], n) for n in GRAMS]
+            bucket = np.concatenate([(mix(c + np.uint64(n << 56)) % np.uint64(BUCKETS)).astype(np.int32) for (c, _), n in zip(parts, GRAMS)])
+            owner = np.concatenate([o for _, o in parts]).astype(np.int32)
+            order = np.argsort(owner, kind="stable")
+            owners.append(owner[order] + a)
+            buckets.append(bucket[order])
+        self.gram_word = np.concatenate(owners) if owners else np.zeros(0, np.int32)
+        self.gram_bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
         self.gram_count = np.bincount(self.gram_word, minlength=len(self.u))
         self.count = np.bincount(rows, minlength=self.n)
         first = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
@@ -66,11 +74,15 @@ class Features:
         self.window_start = first[self.window_row] + np.minimum(k * STRIDE, last[self.window_row])
         self.window_size = np.minimum(self.count[self.window_row], WINDOW)
 
-    def word_sum(self, per_gram: np.ndarray) -> np.ndarray:
-        """Sums per word of rows that stand for grams; every word has a gram, since its marks make it three bytes long."""
-        if not len(self.u):
-            return np.zeros((0, *per_gram.shape[1:]), per_gram.dtype)
-        return np.add.reduceat(per_gram, np.concatenate([[0], np.cumsum(self.gram_count)[:-1]]), axis=0)
+    def char_means(self, vectors: np.ndarray) -> np.ndarray:
+        """The mean of each word's gram vectors; every word has a gram, since its marks make it three bytes long."""
+        out = np.zeros((len(self.u), vectors.shape[1]), np.float32)
+        edge = np.concatenate([[0], np.cumsum(self.gram_count)])
+        for a in range(0, len(self.u), PART):
+            b = min(a + PART, len(self.u))
+            per_gram = vectors[self.gram_bucket[edge[a] : edge[b]]]
+            out[a:b] = np.add.reduceat(per_gram, edge[a:b] - edge[a], axis=0) / self.gram_count[a:b, None]
+        return out
 
     def index(self, windows: np.ndarray) -> np.ndarray:
         """[WINDOW, windows] of distinct-word numbers; past the end of a short document, len(u)."""
@@ -88,8 +100,7 @@ class Net:
         self.head = {"A": f(ATTEND, 2 * HIDDEN), "v": f(1, ATTEND), "o": f(1, 2 * HIDDEN), "c": np.full((1, 1), -2, np.float32)}
 
     def inputs(self, x: Features) -> np.ndarray:
-        chars = x.word_sum(self.chars[x.gram_bucket]) / np.maximum(1, x.gram_count)[:, None]
-        out = np.concatenate([self.words[x.word_bucket], chars.astype(np.float32)], 1).T
+        out = np.concatenate([self.words[x.word_bucket], x.char_means(self.chars)], 1).T
         return np.concatenate([out, np.zeros((2 * DIM, 1), np.float32)], 1)
 
     def run(self, e: np.ndarray, index: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
@@ -187,7 +198,7 @@ def _log_odds(x: Features, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         per = x.gram_count[word]
         at = np.repeat(first[word], per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
         for kind, d, bucket in (("word", doc, x.word_bucket[word]), ("gram", np.repeat(doc, per), x.gram_bucket[at])):
-            one = np.unique(d * BUCKETS + bucket)
+            one = np.unique(d.astype(np.int64) * BUCKETS + bucket)
             y = toxic[a + one // BUCKETS]
             held[kind][0] += np.bincount(one % BUCKETS, weights=y, minlength=BUCKETS)
             held[kind][1] += np.bincount(one % BUCKETS, weights=1 - y, minlength=BUCKETS)
@@ -214,9 +225,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 256
     ends = np.append(edges[1:], len(x.window_row))
     docs_with = x.window_row[edges]
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in _weights(net).items()}
-    step = 0
-    for epoch in range(epochs):
-        if epoch in (2, 5):
+    step, mined = 0, -1
+    n = len(docs_with) + int((y[docs_with] == 0).sum())
+    batch = min(batch, max(16, n // 8))
+    repeat = max(1, -(-STEPS * batch // (n * epochs)))  # few labels take more rounds
+    for epoch in (e for e in range(epochs) for _ in range(repeat)):
+        if epoch in (2, 5) and epoch != mined:
+            mined = epoch
             window_score = net.logits(x)
         worst = np.array([a + window_score[a:b].argmax() for a, b in zip(edges, ends)])
         other = np.array([g.integers(a, b) for a, b in zip(edges, ends)])
@@ -263,7 +278,7 @@ def _weights(net: Net) -> dict[str, np.ndarray]:
     return {f"{k}{d}": net.w[d][k] for d in "fb" for k in ("W", "U", "b")} | net.head
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> Net | None:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 1200, most_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> Net | None:
     """``labels`` has doc_id and toxic; only its documents are learned from."""
     known = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("y")).where("y IN (0, 1)")
     texts, y = labelled_sample(docs, known, most_rows, most_chars, id_col, text_col)
