@@ -193,5 +193,5 @@ def working_grid(inputs: dict[str, PixelGrid], combine: str = INTERSECTION, refe
 
 def grids_frame(spark: SparkSession, grids: dict[str, PixelGrid]) -> DataFrame:
     """One metadata row per image."""
-    rows = [(k, g.crs, g.xmin, g.ymax, g.xres, g.yres, g.nrows, g.ncols) for k, g in grids.items()]
+    rows = [(k, g.crs, float(g.xmin), float(g.ymax), float(g.xres), float(g.yres), g.nrows, g.ncols) for k, g in grids.items()]
     return spark.createDataFrame(rows, "img string, crs string, xmin double, ymax double, xres double, yres double, nrows int, ncols int")

@@ -20,7 +20,8 @@ def write_raster(px: DataFrame, grid: PixelGrid, path: str, nodata: float | None
         px = px.withColumn("band", F.lit(1))
     spark = px.sparkSession
     px.write.mode("overwrite").partitionBy("band").parquet(f"{path}/pixels")
-    meta = [(grid.crs, grid.xmin, grid.ymax, grid.xres, grid.yres, grid.nrows, grid.ncols, nodata, thematic, json.dumps(layer_names or []))]
+    f = lambda x: None if x is None else float(x)
+    meta = [(grid.crs, f(grid.xmin), f(grid.ymax), f(grid.xres), f(grid.yres), grid.nrows, grid.ncols, f(nodata), thematic, json.dumps(layer_names or []))]
     spark.createDataFrame(meta, "crs string, xmin double, ymax double, xres double, yres double, nrows int, ncols int, nodata double, thematic boolean, layer_names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
     if stats:
         band_stats(spark.read.parquet(f"{path}/pixels"), nodata, ("band",)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
