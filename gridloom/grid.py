@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .crs import transform
 from .errors import NoOverlap, ResampleNeeded
 
 INTERSECTION, UNION, BOUNDS_FROM_REFERENCE = "intersection", "union", "bounds_from_reference"
@@ -114,6 +115,23 @@ class PixelGrid:
             ymax=snap(max(ys), target.ymax, target.yres),
         )
 
+    def lonlat_bounds(self) -> PixelGrid:
+        to = transform(self.crs, "EPSG:4326")
+        xs, ys = zip(*(to(x, y) for x, y in self.edge_points()))
+        return PixelGrid(min(xs), min(ys), max(xs), max(ys), self.xres, self.yres, "EPSG:4326")
+
+    def corners(self, target: str | None = None) -> list[tuple[float, float]]:
+        """Upper left, upper right, lower right, lower left, in ``target``'s projection if one is named."""
+        to = transform(self.crs, target or self.crs)
+        return [to(*p) for p in ((self.xmin, self.ymax), (self.xmax, self.ymax), (self.xmax, self.ymin), (self.xmin, self.ymin))]
+
+    def resolution_in(self, target: str) -> tuple[float, float]:
+        """The size of the centre pixel in another projection."""
+        to = transform(self.crs, target)
+        x, y = (self.xmin + self.xmax) / 2, (self.ymin + self.ymax) / 2
+        (x0, y0), (x1, _), (_, y1) = to(x, y), to(x + self.xres, y), to(x, y + self.yres)
+        return abs(x1 - x0), abs(y1 - y0)
+
     def same_place(self, other: PixelGrid, transform: Callable[[float, float], tuple[float, float]], tolerance: float = 0.5) -> bool:
         """Whether corners and centre land within ``tolerance`` pixels of themselves under the transform."""
         xm, ym = (self.xmin + self.xmax) / 2, (self.ymin + self.ymax) / 2
@@ -156,21 +174,26 @@ class PixelGrid:
 
 
 def common_region(grids: Iterable[PixelGrid], reference: PixelGrid, combine: str = INTERSECTION) -> PixelGrid:
-    """The footprint of a job; the reference's own bounds count only for ``BOUNDS_FROM_REFERENCE``."""
+    """The footprint of a job; the reference's own bounds count only for ``BOUNDS_FROM_REFERENCE``.
+
+    Grids out of line count with their bounds in the reference's projection, snapped to its pixels.
+    """
     grids = list(grids)
     if combine == BOUNDS_FROM_REFERENCE or not grids:
         return reference
-    for g in grids:
-        if not g.aligned_with(reference):
-            raise ResampleNeeded(f"{g} is out of line with {reference}")
+    if combine == INTERSECTION:
+        grids = without_surrounding(grids)
+    grids = [g if g.aligned_with(reference) else g.reproject(reference, transform(g.crs, reference.crs)) for g in grids]
     return reduce(PixelGrid.union if combine == UNION else PixelGrid.intersection, grids)
 
 
 def without_surrounding(grids: list[PixelGrid]) -> list[PixelGrid]:
-    """Leaves out, one after the other, a grid that surrounds all others."""
+    """Leaves out, one after the other, a grid that surrounds all others; by longitude and latitude where projections differ."""
     kept = list(grids)
+    one = len({g.crs for g in kept}) == 1
+    bounds = {g: g if one else g.lonlat_bounds() for g in kept}
     while len(kept) > 1:
-        outer = next((i for i, g in enumerate(kept) if all(g.surrounds(o) for j, o in enumerate(kept) if j != i)), None)
+        outer = next((i for i, g in enumerate(kept) if all(bounds[g].surrounds(bounds[o]) for j, o in enumerate(kept) if j != i)), None)
         if outer is None:
             break
         kept.pop(outer)
@@ -188,7 +211,7 @@ def working_grid(inputs: dict[str, PixelGrid], combine: str = INTERSECTION, refe
         if any(not g.aligned_with(reference) for g in inputs.values()):
             raise ResampleNeeded("inputs differ; name a reference")
     chosen = [g for k, g in inputs.items() if extent_from is None or k in extent_from]
-    return common_region([g for g in chosen if g.aligned_with(reference)], reference, combine)
+    return common_region(chosen, reference, combine)
 
 
 def grids_frame(spark: SparkSession, grids: dict[str, PixelGrid]) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..crs import transform
 from ..grid import BOUNDS_FROM_REFERENCE, INTERSECTION, PixelGrid, common_region
 
 
@@ -92,25 +93,29 @@ def resample(px: DataFrame, source: PixelGrid, target: PixelGrid, method: str =
     """Values of ``px`` at the centres of the target's pixels.
 
     ``inverse`` maps target world coordinates to the source's. Kernels leave out no-data and missing neighbours and
-    renormalise, so no-data never smears; a pixel without any valid neighbour is absent.
+    renormalise, so no-data never smears; a pixel without any valid neighbour is absent. Bands, if there is a column
+    of them, are kept apart. Without ``inverse``, grids of different projections take the way between them.
     """
     if method == "near" and inverse is None and source.aligned_with(target):
         return moved(px, source, target).where(F.col("r").between(0, target.nrows - 1) & F.col("c").between(0, target.ncols - 1))
     x, y = target.world_of(F.col("r") + 0.5, F.col("c") + 0.5)
+    if inverse is None and source.crs != target.crs:
+        inverse = transform(target.crs, source.crs)
     if inverse:
         x, y = inverse(x, y)
     fr, fc = source.pixel_of(x, y)
     valid = px if nodata is None else px.where(F.col("v") != nodata)
-    valid = valid.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
+    band = [k for k in ("band",) if k in px.columns]
+    valid = valid.select(*band, F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
     cells = target.cells(px.sparkSession)
     if method == "near":
         asked = cells.select("r", "c", F.floor(fr).alias("sr"), F.floor(fc).alias("sc"))
-        return asked.join(valid, ["sr", "sc"]).select("r", "c", "v")
+        return asked.join(valid, ["sr", "sc"]).select(*band, "r", "c", "v")
     reach, weight = KERNELS[method]
     offsets = F.array(*[F.lit(k) for k in range(1 - reach, reach + 1)])
     asked = cells.select("r", "c", (fr - 0.5).alias("fr"), (fc - 0.5).alias("fc"))
     asked = asked.withColumn("dr", F.explode(offsets)).withColumn("dc", F.explode(offsets))
     asked = asked.select("r", "c", (F.floor("fr") + F.col("dr")).alias("sr"), (F.floor("fc") + F.col("dc")).alias("sc"), "fr", "fc")
     asked = asked.select("r", "c", "sr", "sc", (weight(F.col("fr") - F.col("sr")) * weight(F.col("fc") - F.col("sc"))).alias("w")).where("w <> 0")
-    met = asked.join(valid, ["sr", "sc"]).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"))
-    return met.where("abs(w) > 1e-12").select("r", "c", (F.col("s") / F.col("w")).alias("v"))
+    met = asked.join(valid, ["sr", "sc"]).groupBy(*band, "r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"))
+    return met.where("abs(w) > 1e-12").select(*band, "r", "c", (F.col("s") / F.col("w")).alias("v"))

@@ -39,6 +39,19 @@ def histogram_linear(px: DataFrame, nodata: float | None = None, bins: int = BIN
     return domain.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histogram_ints(px: DataFrame, nodata: float | None = None, bins: int = BINS) -> DataFrame:
+    """The table that fits the range, chosen within the plan: every integer if there are at most ``bins``, else equal steps numbered from 0."""
+    counts = px.select(valid(nodata).cast("long").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("hi IS NOT NULL")
+    wide = F.col("hi") - F.col("lo") + 1 > bins
+    step = (F.col("hi") - F.col("lo")) / bins
+    place = F.when(wide, F.greatest(F.lit(0), F.least(F.ceil((F.col("x") - F.col("lo") + 1) / step) - 1, F.lit(bins - 1)))).otherwise(F.col("x"))
+    got = counts.join(F.broadcast(ends)).groupBy(place.cast("long").alias("bin")).agg(F.sum("n").alias("n"))
+    first, last = F.when(wide, F.lit(0).cast("long")).otherwise(F.col("lo")), F.when(wide, F.lit(bins - 1).cast("long")).otherwise(F.col("hi"))
+    domain = ends.select(F.explode(F.sequence(first, last)).alias("bin"))
+    return domain.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def histogram_float(px: DataFrame, nodata: float | None = None, bins: int = BINS) -> DataFrame:
     """Equal steps between the least and the greatest value; one bin if they are the same."""
     x = px.select(valid(nodata).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BadOption
+from ..errors import BadOption, SinglePassImpossible
 from ..grid import INTERSECTION, PixelGrid, working_grid
+from ..functions.colour import ramp
 from ..operators.align import combine, resample, select_bands
 from ..operators.focal import block_apply
-from ..operators.stats import band_stats, histogram_direct, pyramid_levels, pyramid_nearest
+from ..operators.stats import approximate_stats, band_stats, histogram_direct, histogram_float, histogram_ints, pyramid_average, pyramid_levels, pyramid_nearest
+from ..operators.vector import edges_of, rasterize
 
 #: Options and their defaults; each can be set for all images or for one.
 DEFAULTS: dict[str, Any] = {
@@ -91,20 +93,45 @@ class Result:
     stats: dict[str, DataFrame]
     histograms: dict[str, DataFrame]
     pyramids: dict[str, dict[int, DataFrame]]
+    colours: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def aligned(inputs: dict[str, tuple[DataFrame, PixelGrid]], controls: Controls) -> tuple[DataFrame, PixelGrid]:
-    """All inputs on the working grid, one column each; what is not in line is resampled first."""
-    grids = {k: g for k, (_, g) in inputs.items()}
+def as_raster(layer: DataFrame, grid: PixelGrid, controls: Controls, image: str) -> DataFrame:
+    """A vector layer (fid, ring, attributes) burnt into pixels of ``grid`` as the options for it say."""
+    get = lambda option: controls.get(option, image)
+    return rasterize(edges_of(layer), grid, get("burn_value"), get("vector_null"), get("all_touched"), layer, get("burn_attribute"), get("where"), get("vector_type"))
+
+
+def lined_up(inputs: dict[str, tuple[DataFrame, PixelGrid | None]], controls: Controls) -> tuple[dict[str, tuple[DataFrame, PixelGrid]], PixelGrid]:
+    """Every input on pixels in line with the working grid, and that grid.
+
+    An input without a grid is a vector layer in the working grid's projection; it takes no part in the footprint.
+    """
+    grids = {k: g for k, (_, g) in inputs.items() if g is not None}
     grid = working_grid(grids, controls.get("footprint"), controls.get("reference"), controls.get("extent_from"))
     ready = {}
     for k, (px, g) in inputs.items():
+        if g is None:
+            ready[k] = (as_raster(px, grid, controls, k), grid)
+            continue
         if (bands := controls.get("bands", k)) is not None:
             px = select_bands(px, bands)
         null = controls.get("input_nodata", k)
         ready[k] = (px, g) if g.aligned_with(grid) else (resample(px, g, grid, controls.get("resample", k), null), grid)
+    return ready, grid
+
+
+def aligned(inputs: dict[str, tuple[DataFrame, PixelGrid | None]], controls: Controls) -> tuple[DataFrame, PixelGrid]:
+    """All inputs on the working grid, one column each; what is not in line is resampled first."""
+    ready, grid = lined_up(inputs, controls)
     fill = {k: controls.get("input_nodata", k) or 0 for k in inputs}
-    return combine(ready, controls.get("footprint"), grid, fill)
+    # a resampled input lacks cells without valid neighbours: they hold no-data, and the footprint keeps them
+    whole = {k: _filled(px, grid, fill[k]) if g is not inputs[k][1] and inputs[k][1] is not None else px for k, (px, g) in ready.items()}
+    return combine({k: (whole[k], g) for k, (_, g) in ready.items()}, controls.get("footprint"), grid, fill)
+
+
+def _filled(px: DataFrame, grid: PixelGrid, fill: float) -> DataFrame:
+    return grid.cells(px.sparkSession).join(px.select("r", "c", "v"), ["r", "c"], "left").select("r", "c", F.coalesce("v", F.lit(fill).cast(px.schema["v"].dataType)).alias("v"))
 
 
 def apply(fn: Callable[..., dict[str, Column] | None], inputs: dict[str, tuple[DataFrame, PixelGrid]], controls: Controls | None = None, params: Any = None) -> Result:
@@ -115,19 +142,35 @@ def apply(fn: Callable[..., dict[str, Column] | None], inputs: dict[str, tuple[D
     made = fn({k: F.col(k) for k in inputs}, params) or {}
     controls.check(made_of | set(made))
     outputs = {k: table.select("r", "c", c.alias("v")) for k, c in made.items()}
-    stats, hists, pyramids = {}, {}, {}
+    stats, hists, pyramids, colours = {}, {}, {}, {}
     for k, px in outputs.items():
-        null = controls.get("nodata", k)
-        if controls.get("basic_stats", k):
-            stats[k] = band_stats(px, null)
-        if controls.get("histogram", k) and px.schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
-            hists[k] = histogram_direct(px, null)
-        if controls.get("pyramids", k):
-            levels = pyramid_levels(grid.nrows, grid.ncols, controls.get("overview_levels", k), controls.get("overview_least", k))
-            pyramids[k] = {x: pyramid_nearest(px, x) for x in levels}
-        if hook := controls.get("before_close", k):
+        get = lambda option: controls.get(option, k)  # noqa: B023, E731
+        null, kind = get("nodata"), px.schema["v"].dataType.simpleString()
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        if get("single_pass") and (get("approximate_stats") or (get("histogram") and not whole)):
+            raise SinglePassImpossible(f"{k}: approximate statistics, and histograms of fractions, take a further pass")
+        if get("basic_stats"):
+            stats[k] = approximate_stats(px, null) if get("approximate_stats") else band_stats(px, null)
+        if get("histogram"):
+            hists[k] = _histogram(px, null, whole, get("thematic"))
+        if get("pyramids"):
+            levels = pyramid_levels(grid.nrows, grid.ncols, get("overview_levels"), get("overview_least"))
+            average = get("overview_method") == "average"
+            pyramids[k] = {x: pyramid_average(px, x, null) if average else pyramid_nearest(px, x) for x in levels}
+        if (palette := get("auto_colours")) and get("thematic"):
+            top = band_stats(px, null).first().vmax  # the number of colours is the table's length
+            if top is not None:
+                colours[k] = ramp(px.sparkSession, int(top) + 1, palette, null)
+        if hook := get("before_close"):
             outputs[k] = hook(px) or px
-    return Result(outputs, grid, stats, hists, pyramids)
+    return Result(outputs, grid, stats, hists, pyramids, colours)
+
+
+def _histogram(px: DataFrame, null: float | None, whole: bool, thematic: bool) -> DataFrame:
+    """Classes and bytes are counted from 0, other whole numbers by their range, fractions in equal steps; all lazily."""
+    if not whole:
+        return histogram_float(px, null)
+    return histogram_direct(px, null, 0) if thematic else histogram_ints(px, null)
 
 
 def apply_blocks(fn: Callable[[np.ndarray, dict], np.ndarray], px: DataFrame, grid: PixelGrid, controls: Controls | None = None, value: str = "double") -> DataFrame:
