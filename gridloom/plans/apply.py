@@ -142,28 +142,33 @@ def apply(fn: Callable[..., dict[str, Column] | None], inputs: dict[str, tuple[D
     made = fn({k: F.col(k) for k in inputs}, params) or {}
     controls.check(made_of | set(made))
     outputs = {k: table.select("r", "c", c.alias("v")) for k, c in made.items()}
-    stats, hists, pyramids, colours = {}, {}, {}, {}
+    job = Result(outputs, grid, {}, {}, {}, {})
     for k, px in outputs.items():
-        get = lambda option: controls.get(option, k)  # noqa: B023, E731
-        null, kind = get("nodata"), px.schema["v"].dataType.simpleString()
-        whole = kind in ("tinyint", "smallint", "int", "bigint")
-        if get("single_pass") and (get("approximate_stats") or (get("histogram") and not whole)):
-            raise SinglePassImpossible(f"{k}: approximate statistics, and histograms of fractions, take a further pass")
-        if get("basic_stats"):
-            stats[k] = approximate_stats(px, null) if get("approximate_stats") else band_stats(px, null)
-        if get("histogram"):
-            hists[k] = _histogram(px, null, whole, get("thematic"))
-        if get("pyramids"):
-            levels = pyramid_levels(grid.nrows, grid.ncols, get("overview_levels"), get("overview_least"))
-            average = get("overview_method") == "average"
-            pyramids[k] = {x: pyramid_average(px, x, null) if average else pyramid_nearest(px, x) for x in levels}
-        if (palette := get("auto_colours")) and get("thematic"):
-            top = band_stats(px, null).first().vmax  # the number of colours is the table's length
-            if top is not None:
-                colours[k] = ramp(px.sparkSession, int(top) + 1, palette, null)
-        if hook := get("before_close"):
+        derive(job, k, px, controls)
+        if hook := controls.get("before_close", k):
             outputs[k] = hook(px) or px
-    return Result(outputs, grid, stats, hists, pyramids, colours)
+    return job
+
+
+def derive(job: Result, name: str, px: DataFrame, controls: Controls) -> None:
+    """Adds what is made from an output's pixels to ``job``: statistics, histogram, pyramids, colours."""
+    get = lambda option: controls.get(option, name)
+    null, kind = get("nodata"), px.schema["v"].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    if get("single_pass") and (get("approximate_stats") or (get("histogram") and not whole)):
+        raise SinglePassImpossible(f"{name}: approximate statistics, and histograms of fractions, take a further pass")
+    if get("basic_stats"):
+        job.stats[name] = approximate_stats(px, null) if get("approximate_stats") else band_stats(px, null)
+    if get("histogram"):
+        job.histograms[name] = _histogram(px, null, whole, get("thematic"))
+    if get("pyramids"):
+        levels = pyramid_levels(job.grid.nrows, job.grid.ncols, get("overview_levels"), get("overview_least"))
+        average = get("overview_method") == "average"
+        job.pyramids[name] = {x: pyramid_average(px, x, null) if average else pyramid_nearest(px, x) for x in levels}
+    if (palette := get("auto_colours")) and get("thematic"):
+        top = band_stats(px, null).first().vmax  # the number of colours is the table's length
+        if top is not None:
+            job.colours[name] = ramp(px.sparkSession, int(top) + 1, palette, null)
 
 
 def _histogram(px: DataFrame, null: float | None, whole: bool, thematic: bool) -> DataFrame:

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import crs
 from .functions import colour, timing
-from .grid import UNION, PixelGrid, grids_frame, snap_column
+from .grid import UNION, PixelGrid, grids_frame, snap_column, without_surrounding
 from .operators import align, focal, rat, stats, vector
 from .plans.apply import Controls, apply
+from .plans.blocks import all_totals, apply_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -463,3 +465,154 @@ def _(spark, d):
 def _(spark, d):
     e = _t(spark, d, "events").select(F.col("event_type").alias("name"), F.lit(0.0).alias("start"), F.col("value").alias("end"))
     return rounded(timing.summary(e), "least", "p25", "p50", "p75", "most").withColumn("total", F.round("total", 4))
+
+
+# whole jobs
+
+
+def _pair(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, PixelGrid]]:
+    g = ev_grid(spark, d)
+    return {"a": (ev(spark, d), g), "b": (ev_mirror(spark, d), g)}
+
+
+@query("job_blocks_two_inputs", f"WITH {EV} SELECT 1 AS band, a.r, a.c, (a.v * 2 + b.v)::DOUBLE AS v FROM ev a JOIN ev b ON a.r = b.r AND a.c = 99 - b.c")
+def _(spark, d):
+    return apply_all(lambda info, x, p: {"o": x["a"] * p + x["b"]}, _pair(spark, d), ["o"], Controls().set("block_size", 64), 2).output("o")
+
+
+@query("job_blocks_totals", f"WITH {EV} SELECT sum(v)::DOUBLE AS total, max(v)::DOUBLE AS most, count(*)::DOUBLE AS cells FROM ev")
+def _(spark, d):
+    totals = {"total": "sum", "most": "max", "cells": "sum"}
+    fn = lambda info, x, p: {"total": x["a"].sum(), "most": x["a"].max(), "cells": x["a"].size}
+    return all_totals(apply_all(fn, _pair(spark, d), [], Controls().set("block_size", 64), totals=totals), totals)
+
+
+@query("job_blocks_coordinates", f"WITH {EV} SELECT 1 AS band, r, c, 1000 + (c + 0.5::DOUBLE) * 10 - (5000 - (r + 0.5::DOUBLE) * 10) AS v FROM ev")
+def _(spark, d):
+    g = ev_grid(spark, d, 1000.0, 5000.0, 10.0)
+    c = Controls().set("footprint", "bounds_from_reference").set("reference", g).set("block_size", 64)
+
+    def fn(info, x, p):
+        px, py = info.coordinates()
+        return {"o": px - py}
+
+    return apply_all(fn, {}, ["o"], c, spark=spark).output("o")
+
+
+@query("job_histogram_wide", "SELECT * FROM (" + SQL["histogram_linear_256"] + ")")
+def _(spark, d):
+    return stats.histogram_ints(_t(spark, d, "lineitem").select(F.floor("l_extendedprice").alias("v")))
+
+
+@query("job_vector_mask_sum", f"WITH {EV}, {INSIDE} SELECT sum(v)::BIGINT AS total, count(*) AS n FROM ev JOIN hit USING (r, c)")
+def _(spark, d):
+    g = ev_grid(spark, d)
+    job = apply(lambda x, _: {"o": F.when(x["p"] == 1, x["a"])}, {"a": (ev(spark, d), g), "p": (_polygons(spark).where("fid = 0"), None)}, Controls().set("nodata", None))
+    return job.outputs["o"].agg(F.sum("v").alias("total"), F.count("v").alias("n"))
+
+
+@query("job_auto_colours", "WITH m AS (SELECT max(l_partkey) AS m FROM lineitem) SELECT i AS value, floor(round(i * 255 / m::DOUBLE, 9))::INT AS red, floor(round(i * 255 / m::DOUBLE, 9))::INT AS green, floor(round(i * 255 / m::DOUBLE, 9))::INT AS blue, 255 AS alpha FROM (SELECT unnest(generate_series(0, m)) AS i, m FROM m)")
+def _(spark, d):
+    px = _t(spark, d, "lineitem").select((F.col("l_orderkey")).alias("r"), F.col("l_linenumber").cast("long").alias("c"), F.col("l_partkey").alias("v"))
+    g = PixelGrid.of(0.0, 0.0, 10, 10_000_000, 1.0)
+    c = Controls().set("thematic", True).set("auto_colours", "gray").set("nodata", None)
+    return apply(lambda x, _: {"o": x["a"]}, {"a": (px, g)}, c).colours["o"]
+
+
+@query("list_inputs_sum", f"WITH {EV}, s AS (SELECT r, c, v FROM ev UNION ALL SELECT r, 99 - c, v FROM ev UNION ALL SELECT r, c, 3 FROM ev) SELECT r, c, sum(v)::BIGINT AS total, count(v) AS n FROM s WHERE v <> 5 GROUP BY 1, 2")
+def _(spark, d):
+    images = [ev(spark, d), ev_mirror(spark, d), ev(spark, d).withColumn("v", F.lit(3).cast("long"))]
+    return align.cellwise(align.stack_bands(images), 5, total=F.sum("v"), n=F.count("v"))
+
+
+# more kernels, projections and grids
+
+
+def _spline_sql(t: str) -> str:
+    a = f"abs({t})"
+    return f"(CASE WHEN {a} <= 1 THEN {a} * {a} * {a} / 2 - {a} * {a} + 2 / 3.0::DOUBLE WHEN {a} < 2 THEN (2 - {a}) * (2 - {a}) * (2 - {a}) / 6 ELSE 0 END)"
+
+
+def _lanczos_sql(t: str) -> str:
+    return f"(CASE WHEN abs({t}) < 1e-12 THEN 1 WHEN abs({t}) < 3 THEN 3 * sin(pi() * ({t})) * sin(pi() * ({t}) / 3) / (pi() * ({t}) * pi() * ({t})) ELSE 0 END)"
+
+
+@query("resample_cubicspline", _kernel_sql(2, _spline_sql, 1.5))
+def _(spark, d):
+    return rounded(align.resample(ev(spark, d), ev_grid(spark, d), _target(spark, d, 1.5), "cubicspline", 5), "v")
+
+
+@query("resample_lanczos", _kernel_sql(3, _lanczos_sql, 1.5))
+def _(spark, d):
+    return rounded(align.resample(ev(spark, d), ev_grid(spark, d), _target(spark, d, 1.5), "lanczos", 5), "v")
+
+
+@query(
+    "warp_web_mercator",
+    f"""WITH {EV}, dst AS (SELECT r, c, degrees((20000 + (c + 0.5::DOUBLE) * 15000) / 6378137) AS x, degrees(2 * atan(exp((-20000 - (r + 0.5::DOUBLE) * 15000) / 6378137)) - pi() / 2) AS y
+    FROM (SELECT unnest(generate_series(0, 9)) AS r), (SELECT unnest(generate_series(0, 59)) AS c)) SELECT dst.r, dst.c, v FROM dst JOIN ev ON ev.r = floor(-y / 0.1::DOUBLE)::BIGINT AND ev.c = floor(x / 0.1::DOUBLE)::BIGINT""",
+)
+def _(spark, d):
+    g = PixelGrid.of(0.0, 0.0, 100, ev_grid(spark, d).nrows, 0.1, crs="EPSG:4326")
+    return align.resample(ev(spark, d), g, PixelGrid.of(20000.0, -20000.0, 60, 10, 15000.0, crs="EPSG:3857"))
+
+
+@query("project_points", "SELECT event_id, round(radians(user_id % 360 - 180) * 6378137, 3) AS x, round(ln(tan(pi() / 4 + radians(value % 80) / 2)) * 6378137, 3) AS y FROM events")
+def _(spark, d):
+    x, y = crs.transform("EPSG:4326", "EPSG:3857")(F.col("user_id") % 360 - 180, F.col("value") % 80)
+    return _t(spark, d, "events").select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query("grid_corners", f"WITH {EV}, {DIM} SELECT * FROM (SELECT 0 AS k, 150.0::DOUBLE AS x, -40.0::DOUBLE AS y UNION ALL SELECT 1, 1150, -40 UNION ALL SELECT 2, 1150, -40 - 10 * h FROM dim UNION ALL SELECT 3, 150, -40 - 10 * h FROM dim)")
+def _(spark, d):
+    return spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(_two(spark, d)[1].corners())], "k int, x double, y double")
+
+
+@query("grid_surrounds", "SELECT * FROM (VALUES ('whole', true), ('moved', false), ('part', true)) t(img, inside)")
+def _(spark, d):
+    g = PixelGrid.of(0.0, 0.0, 10, 10, 1.0)
+    others = {"whole": g, "moved": PixelGrid.of(1.0, 0.0, 10, 10, 1.0), "part": PixelGrid.of(2.0, -2.0, 3, 3, 1.0)}
+    return spark.createDataFrame([(k, g.surrounds(o)) for k, o in others.items()], "img string, inside boolean")
+
+
+@query("grids_without_surrounding", "SELECT * FROM (VALUES (0.0::DOUBLE, 10), (5.0::DOUBLE, 10)) t(xmin, ncols)")
+def _(spark, d):
+    grids = [PixelGrid.of(-5.0, 5.0, 50, 50, 1.0), PixelGrid.of(0.0, 0.0, 10, 10, 1.0), PixelGrid.of(5.0, 0.0, 10, 10, 1.0)]
+    return spark.createDataFrame([(g.xmin, g.ncols) for g in without_surrounding(grids)], "xmin double, ncols int")
+
+
+@query("block_progress", f"WITH {EV}, {DIM}, b AS (SELECT row_number() OVER (ORDER BY t, l) - 1 AS block, count(*) OVER () AS n FROM (SELECT unnest(generate_series(0, h - 1, 32)) AS t FROM dim), (SELECT unnest(generate_series(0, 99, 32)) AS l)) SELECT block, (100 * block // n)::INT AS percent, block = 0 AS is_first, block = n - 1 AS is_last FROM b")
+def _(spark, d):
+    return ev_grid(spark, d).blocks(spark, 32).select("block", "percent", "is_first", "is_last")
+
+
+@query("pyramid_nearest_corner", f"WITH {EV} SELECT r // 4 AS r, c // 4 AS c, v FROM ev WHERE r % 4 = 0 AND c % 4 = 0")
+def _(spark, d):
+    return stats.pyramid_nearest(ev(spark, d), 4, centred=False)
+
+
+@query("stats_by_band_null", "WITH x AS (SELECT generate_subscripts(embedding, 1) AS band, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT band::INT AS band, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS stddev FROM x WHERE v >= 0 GROUP BY 1")
+def _(spark, d):
+    px = _t(spark, d, "embeddings").select(F.posexplode("embedding").alias("p", "v")).select((F.col("p") + 1).alias("band"), F.col("v").cast("double").alias("v"))
+    null = F.when(F.col("v") >= 0, F.col("v")).otherwise(F.lit(-9.0))
+    return rounded(stats.band_stats(px.withColumn("v", null), -9.0, ("band",)).select("band", "n", "mean", "stddev"), "mean", "stddev")
+
+
+# more of attribute tables
+
+
+@query("rat_block_state", "SELECT p_partkey AS row_id, (p_partkey // 700) * 700 AS start_row, p_partkey // 700 AS block FROM part")
+def _(spark, d):
+    fn = lambda state, rows: {"row_id": rows.row_id, "start_row": [state["start_row"]] * len(rows), "block": [state["block"]] * len(rows)}
+    return rat.apply_blocks(_part(spark, d), fn, "row_id long, start_row long, block long", 700)
+
+
+@query("rat_colour_usage", "SELECT p_partkey AS row_id, floor(p_size / 64.0::DOUBLE * 255)::INT AS red FROM part")
+def _(spark, d):
+    t = _part(spark, d).select("row_id", (F.col("p_size") / 64).alias("red"))
+    return rat.read_column(rat.with_usage(t, "red", "red"), "red")
+
+
+@query("rat_stats_unweighted", """SELECT c AS "column", count(*) AS n, round(avg(x), 6) AS mean, min(x) AS vmin, max(x) AS vmax FROM (SELECT 'p_size' AS c, p_size::DOUBLE AS x FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part) GROUP BY 1""")
+def _(spark, d):
+    return rounded(rat.weighted_stats(_part(spark, d), ["p_name", "p_size", "p_retailprice"]).select("column", "n", "mean", "vmin", "vmax"), "mean")

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import json
+import warnings
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FileOpen
 from ..grid import PixelGrid
-from ..operators.stats import band_stats
+from ..operators.stats import band_stats, non_finite
+from ..operators.vector import edges_of, layer_info
+from ..plans.apply import Controls, Result, derive
 
 
 def write_raster(px: DataFrame, grid: PixelGrid, path: str, nodata: float | None = None, layer_names: list[str] | None = None, thematic: bool = False, stats: bool = True, before_close=None) -> None:
@@ -44,6 +50,82 @@ def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None,
     return px, PixelGrid.of(m.xmin, m.ymax, m.ncols, m.nrows, m.xres, m.yres, m.crs)
 
 
+def write_job(job: Result, path: str, controls: Controls) -> dict[str, str]:
+    """Every output under ``path``/<name>: the function runs once, all else is made from the pixels as written.
+
+    Beside pixels, grid and statistics: ``histogram``, ``pyramids/level=N`` and ``colours``. Fractions with NaN or infinities bring
+    a warning.
+    """
+    paths = {}
+    for k, px in job.outputs.items():
+        at = paths[k] = f"{path}/{k}"
+        get = lambda option: controls.get(option, k)  # noqa: B023, E731
+        write_raster(px, job.grid, at, get("nodata"), get("layer_names"), get("thematic"), get("basic_stats") and not get("approximate_stats"))
+        back = px.sparkSession.read.schema(px.schema).parquet(f"{at}/pixels")
+        done = type(job)({k: back}, job.grid, {}, {}, {}, {})
+        derive(done, k, back, controls)
+        if get("basic_stats") and get("approximate_stats"):
+            done.stats[k].coalesce(1).write.mode("overwrite").parquet(f"{at}/stats")
+        for kind, frame in (("histogram", done.histograms.get(k)), ("colours", done.colours.get(k))):
+            if frame is not None:
+                frame.coalesce(1).write.mode("overwrite").parquet(f"{at}/{kind}")
+        for level, frame in done.pyramids.get(k, {}).items():
+            frame.write.mode("overwrite").parquet(f"{at}/pyramids/level={level}")
+        if px.schema["v"].dataType.simpleString() in ("float", "double"):
+            bad = non_finite(back).first()
+            if bad.has_nan or bad.has_inf:
+                warnings.warn(f"{k} holds NaN or infinite values", stacklevel=2)
+    return paths
+
+
+def read_part(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """Stored ``stats``, ``histogram``, ``colours`` or ``pyramids`` of a raster; None where there are none."""
+    try:
+        return spark.read.parquet(f"{path}/{kind}")
+    except AnalysisException:
+        return None
+
+
+def describe(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """One row per input: its kind and, of a raster, its grid; of a layer of rings, its extent."""
+    parts = []
+    for name, path in paths.items():
+        head = [F.lit(name).alias("name")]
+        try:
+            m = spark.read.parquet(f"{path}/grid")
+            parts.append(m.select(*head, F.lit("raster").alias("kind"), "crs", "nrows", "ncols", "xmin", (F.col("ymax") - F.col("nrows") * F.col("yres")).alias("ymin"), (F.col("xmin") + F.col("ncols") * F.col("xres")).alias("xmax"), "ymax"))
+            continue
+        except AnalysisException:
+            pass
+        try:
+            layer = spark.read.parquet(path)
+        except AnalysisException as e:
+            raise FileOpen(path) from e
+        if not {"fid", "ring"} <= set(layer.columns):
+            raise FileOpen(f"{path} is neither raster nor layer")
+        none = lambda kind, k: F.lit(None).cast(kind).alias(k)
+        parts.append(layer_info(edges_of(layer)).select(*head, F.lit("vector").alias("kind"), none("string", "crs"), none("int", "nrows"), none("int", "ncols"), "xmin", "ymin", "xmax", "ymax"))
+    if not parts:
+        raise FileOpen("nothing to describe")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_raw(px: DataFrame, grid: PixelGrid, path: str, dtype: str = "<f4", fill: float = 0, rows: int = 256) -> None:
+    """Flat binary strips of ``rows`` rows, one a group of rows, as (band, top, nrows, data) in Parquet; joined in order they are a band-sequential file."""
+    if "band" not in px.columns:
+        px = px.withColumn("band", F.lit(1))
+    nrows, ncols = grid.nrows, grid.ncols
+
+    def strip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top = int(key[1]) * rows
+        a = np.full((min(rows, nrows - top), ncols), fill, dtype)
+        a[pdf.r.to_numpy() - top, pdf.c.to_numpy()] = pdf.v.to_numpy()
+        return pd.DataFrame({"band": [key[0]], "top": [top], "nrows": [len(a)], "data": [a.tobytes()]})
+
+    inside = px.where(F.col("r").between(0, nrows - 1) & F.col("c").between(0, ncols - 1))
+    inside.groupBy("band", F.floor(F.col("r") / rows).alias("k")).applyInPandas(strip, "band int, top long, nrows int, data binary").write.mode("overwrite").parquet(path)
+
+
 def layer_number(meta: DataFrame, name: str) -> int:
     """1-based number of a layer, 0 if there is none of that name."""
     names = json.loads(meta.first().layer_names)

@@ -10,7 +10,7 @@ from gridloom.grid import INTERSECTION, UNION, PixelGrid, common_region, without
 from gridloom.operators import align, stats
 from gridloom.plans.apply import Controls, apply
 from gridloom.plans.blocks import BlockInfo, all_totals, apply_all
-from gridloom.sources import geotiff
+from gridloom.sources import geotiff, raster
 
 
 def image(spark, a, kind="long"):
@@ -151,3 +151,33 @@ def test_other_files_are_refused(spark, tmp_path):
         geotiff.read_geotiff(spark, str(tmp_path / "x"))
     with pytest.raises(FileOpen):
         geotiff.read_geotiff(spark, str(tmp_path / "none"))
+
+
+def test_a_written_job_and_its_parts(spark, tmp_path):
+    a = np.arange(256).reshape(16, 16) % 5
+    c = Controls().set("overview_levels", (2,)).set("overview_least", 1).set("nodata", None).set("thematic", True, "o").set("auto_colours", "gray", "o")
+    g = PixelGrid.of(0, 0, 16, 16, 1.0)
+    job = apply(lambda x, _: {"o": x["v"], "bad": F.when(x["v"] == 0, float("nan")).otherwise(x["v"] / 2)}, {"v": (image(spark, a), g)}, c)
+    with pytest.warns(UserWarning, match="bad"):
+        paths = raster.write_job(job, str(tmp_path), c)
+    px, grid = raster.read_raster(spark, paths["o"])
+    assert grid == g and (array(px, a.shape) == a).all()
+    assert raster.read_part(spark, paths["o"], "stats").first().vmax == 4
+    assert {(r.bin, r.n) for r in raster.read_part(spark, paths["o"], "histogram").collect()} == {(k, int((a == k).sum())) for k in range(5)}
+    assert raster.read_part(spark, paths["o"], "pyramids").where("level = 2").count() == 64
+    assert raster.read_part(spark, paths["o"], "colours").count() == 5 and raster.read_part(spark, paths["bad"], "colours") is None
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((2.0, -1.0), (6.0, -1.0), (6.0, -4.0))])
+    spark.range(1).select(F.col("id").alias("fid"), ring.alias("ring")).write.parquet(str(tmp_path / "layer"))
+    rows = {r.name: r for r in raster.describe(spark, {"r": paths["o"], "v": str(tmp_path / "layer")}).collect()}
+    assert (rows["r"].kind, rows["r"].xmax, rows["r"].ymin) == ("raster", 16.0, -16.0)
+    assert (rows["v"].kind, rows["v"].xmax, rows["v"].ymin) == ("vector", 6.0, -4.0)
+    with pytest.raises(FileOpen):
+        raster.describe(spark, {"x": str(tmp_path / "nothing")})
+
+
+def test_raw_strips_join_to_a_file(spark, tmp_path):
+    a = np.random.default_rng(5).integers(0, 99, (10, 7))
+    raster.write_raw(image(spark, a), PixelGrid.of(0, 0, 7, 10, 1.0), str(tmp_path / "s"), "<i2", rows=4)
+    data = b"".join(bytes(r.data) for r in spark.read.parquet(str(tmp_path / "s")).orderBy("band", "top").collect())
+    (tmp_path / "f.raw").write_bytes(data)
+    assert (array(raster.read_raw(spark, str(tmp_path / "f.raw"), 10, 7, "<i2"), a.shape) == a).all()
