@@ -69,8 +69,29 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov block probability."""
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - 2 * 0.5723649429247001 - _log_gamma(n0 + n1 + 1.0)
+    """Log of the Krichevsky-Trofimov block probability; a part of the nodes at a time."""
+    out = np.empty(len(n0))
+    for a in range(0, len(n0), 1 << 17):
+        x, y = n0[a : a + (1 << 17)], n1[a : a + (1 << 17)]
+        out[a : a + (1 << 17)] = _log_gamma(x + 0.5) + _log_gamma(y + 0.5) - 2 * 0.5723649429247001 - _log_gamma(x + y + 1.0)
+    return out
+
+
+def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted node keys of one depth, and what each saw: zeros and ones. Codes are sorted, so a node's lie together."""
+    keys, zeros, ones = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+    for b in range(8 if len(code) else 0):
+        part = code >> (8 - b)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        bit = (code >> (7 - b)) & 1
+        every, n1 = np.add.reduceat(n, first), np.add.reduceat(n * bit, first)
+        start = code[first]
+        keys.append(((start >> 8) << 8) | (1 << b) | ((start & 255) >> (8 - b)))
+        zeros.append((every - n1).astype(float))
+        ones.append(n1.astype(float))
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
 class Tree:
@@ -78,37 +99,30 @@ class Tree:
 
     def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
         depth = self.depth = len(tables) - 1
-        nodes = []
-        for code, n in tables:
-            context, byte = code >> 8, code & 255
-            key = np.concatenate([(context << 8) | (1 << b) | (byte >> (8 - b)) for b in range(8)]) if len(code) else np.zeros(0, np.int64)
-            bit = np.concatenate([(byte >> (7 - b)) & 1 for b in range(8)]) if len(code) else np.zeros(0, np.int64)
-            keys, inverse = np.unique(key, return_inverse=True)
-            weight = np.tile(n, 8).astype(float)
-            n1 = np.bincount(inverse, weights=weight * bit, minlength=len(keys))
-            n0 = np.bincount(inverse, weights=weight * (1 - bit), minlength=len(keys))
-            nodes.append((keys, n0, n1))
-        self.keys = [k for k, _, _ in nodes]
-        self.one = [((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32) for _, n0, n1 in nodes]
-        self.stop: list[np.ndarray] = [np.ones(len(k), np.float32) for k in self.keys]
+        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)] * (depth + 1)
+        self.one: list[np.ndarray] = [np.zeros(0, np.float32)] * (depth + 1)
+        self.stop: list[np.ndarray] = [np.zeros(0, np.float32)] * (depth + 1)
         below = None
-        for d in range(depth, -1, -1):
-            keys, n0, n1 = nodes[d]
+        for d in range(depth, -1, -1):  # only two depths have their counts in memory
+            keys, n0, n1 = _nodes(*tables[d])
             own = _kt(n0, n1)
-            weighted = own
-            if below is not None and len(below[0]):
+            weighted, stop = own, np.ones(len(keys), np.float32)
+            if below is not None and len(below[0]) and len(keys):
                 ck, c0, c1, cw = below
-                at = np.searchsorted(keys, ck & ((1 << 8 * (d + 1)) - 1))
-                at = np.minimum(at, max(0, len(keys) - 1))
-                there = keys[at] == ck & ((1 << 8 * (d + 1)) - 1)
+                parent = ck & ((1 << 8 * (d + 1)) - 1)
+                at = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
+                there = keys[at] == parent
                 at = at[there]
                 add = lambda x: np.bincount(at, weights=x[there], minlength=len(keys))  # noqa: E731, B023
                 children, has = add(cw), np.bincount(at, minlength=len(keys)) > 0
                 children += _kt(np.maximum(0, n0 - add(c0)), np.maximum(0, n1 - add(c1)))
                 mixed = np.logaddexp(own, children) + np.log(0.5)
                 weighted = np.where(has, mixed, own)
-                self.stop[d] = np.where(has, np.exp(np.log(0.5) + own - mixed), 1).astype(np.float32)
+                stop = np.where(has, np.exp(np.log(0.5) + own - mixed), 1).astype(np.float32)
+            self.keys[d], self.stop[d] = keys, stop
+            self.one[d] = ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
             below = (keys, n0, n1, weighted)
+        del below
         self.slot_code = np.full(SLOTS, -1, np.int64)
         self.slot_value = np.zeros(SLOTS, np.float32)
         code, n = tables[-1]
