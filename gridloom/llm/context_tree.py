@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .textvec import LOWER, SPACE, slices, utf8, words
 from .work import crc_mod, table, written
 
-DEPTH = 5
+DEPTH = 4
 MOST = 1 << 21
 FREQUENT = 1 << 18
 SLOTS = 1 << 21
