@@ -6,11 +6,14 @@ byte is eight binary decisions; a decision's context is the bits before it in th
 its children, so a prediction mixes the estimates of all depths by their posterior weights; the path ends at the
 last node that training saw. The code length of a text is minus its log2 probability.
 
-Counts are gathered over all training documents: (context, byte) counts by map-side and shuffled aggregation, so
-they grow with the corpus. The model that is broadcast keeps at most ``MOST`` contexts with their next byte a
-depth, the most frequent; below that bound nothing is left out, beyond it the tree ends earlier where it is
-sparse, and what the left-out children saw stands as one more child in the weighting. No task sorts or gathers keys
-to find the most frequent: a histogram of their counts gives the bound.
+Nothing of the model is capped and no machine holds it whole. (context, byte) counts of all documents are gathered
+by map-side and shuffled aggregation, so they grow with the corpus. Contexts that share their last ``ROOT`` bytes
+form a subtree; a task weighs whole subtrees and gives, for every (context, byte) that any text asks for, the
+probability below the root. What leaves a subtree upwards are sums per node of depth ``ROOT`` - 1, at most
+255 * 256 of them, from which the driver weighs the top of the tree; it is broadcast to finish the probabilities.
+The log probabilities of the ``FREQUENT_CODES`` most frequent codes are then broadcast, and all others are joined to
+the documents by code, so every byte of every text meets its exact probability. No task sorts or gathers keys to
+find the most frequent: a histogram of their counts gives the bound.
 
 The base is a unigram model of words. Its counts aren't bounded: the ``FREQUENT`` most frequent words are broadcast,
 all others are joined by hash, so every token of every document meets its exact count.
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 from .textvec import LOWER, SPACE, slices, utf8, words
 from .work import crc_mod, table, written
 
-DEPTH = 4
-MOST = 1 << 21
+DEPTH = 5
+ROOT = 2
+CHUNK = 200_000
 FREQUENT = 1 << 18
+FREQUENT_CODES = 1 << 20
 SLOTS = 1 << 21
 END = np.uint64(0x5EED)
 WORD = ~SPACE
@@ -94,195 +99,286 @@ def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
-class Tree:
-    """Per depth: sorted node keys (context bytes, bit prefix), the estimate of a 1, and the weight of stopping there."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        depth = self.depth = len(tables) - 1
-        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)] * (depth + 1)
-        self.one: list[np.ndarray] = [np.zeros(0, np.float32)] * (depth + 1)
-        self.stop: list[np.ndarray] = [np.zeros(0, np.float32)] * (depth + 1)
-        below = None
-        for d in range(depth, -1, -1):  # only two depths have their counts in memory
-            keys, n0, n1 = _nodes(*tables[d])
-            own = _kt(n0, n1)
-            weighted, stop = own, np.ones(len(keys), np.float32)
-            if below is not None and len(below[0]) and len(keys):
-                ck, c0, c1, cw = below
-                parent = ck & ((1 << 8 * (d + 1)) - 1)
-                at = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
-                there = keys[at] == parent
-                at = at[there]
-                add = lambda x: np.bincount(at, weights=x[there], minlength=len(keys))  # noqa: E731, B023
-                children, has = add(cw), np.bincount(at, minlength=len(keys)) > 0
-                children += _kt(np.maximum(0, n0 - add(c0)), np.maximum(0, n1 - add(c1)))
-                mixed = np.logaddexp(own, children) + np.log(0.5)
-                weighted = np.where(has, mixed, own)
-                stop = np.where(has, np.exp(np.log(0.5) + own - mixed), 1).astype(np.float32)
-            self.keys[d], self.stop[d] = keys, stop
-            self.one[d] = ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
-            below = (keys, n0, n1, weighted)
-        del below
-        self.slot_code = np.full(SLOTS, -1, np.int64)
-        self.slot_value = np.zeros(SLOTS, np.float32)
-        code, n = tables[-1]
-        order = np.argsort(n, kind="stable")  # of codes that share a slot the most frequent holds it
-        code = code[order]
-        for a in range(0, len(code), 1 << 17):
-            part = code[a : a + (1 << 17)]
-            slot = self._slot(part)
-            self.slot_code[slot] = part
-            self.slot_value[slot] = self._mixed(part)
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, and each value summed by them."""
+    u, inverse = np.unique(keys, return_inverse=True)
+    return (u, *(np.bincount(inverse, weights=v, minlength=len(u)) for v in values))
 
-    @staticmethod
-    def _slot(code: np.ndarray) -> np.ndarray:
-        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
-    def _mixed(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte after its context."""
+class Tree:
+    """Depths ``root`` to ``depth`` of the tree: sorted node keys (context bytes, bit prefix), the estimate of a 1, and the weight of stopping there.
+
+    It is made from its deepest nodes; ``children`` are the summed log weights of the nodes below those, if any.
+    ``up`` holds what the nodes above the root need: their keys, zeros, ones and the log weights of their children.
+    """
+
+    def __init__(self, nodes: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int, root: int = 0, children: np.ndarray | None = None):
+        self.root, self.depth = root, depth
+        self.keys: dict[int, np.ndarray] = {}
+        self.one: dict[int, np.ndarray] = {}
+        self.stop: dict[int, np.ndarray] = {}
+        keys, n0, n1 = nodes
+        for d in range(depth, root - 1, -1):
+            weighted = own = _kt(n0, n1)
+            stop = np.ones(len(keys))
+            if children is not None:
+                weighted = np.logaddexp(own, children) + np.log(0.5)
+                stop = np.exp(np.log(0.5) + own - weighted)
+            self.keys[d], self.stop[d], self.one[d] = keys, stop.astype(np.float32), ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
+            keys, n0, n1, children = _sums(keys & ((1 << 8 * d) - 1), n0, n1, weighted)
+        self.up = (keys, n0, n1, children)
+
+    @classmethod
+    def of(cls, code: np.ndarray, n: np.ndarray, depth: int, root: int = 0) -> Tree:
+        """From sorted codes of (``depth`` context bytes, byte) and how often training saw each."""
+        return cls(_nodes(code[n > 0], n[n > 0]), depth, root)
+
+    def bits(self, code: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of the eight bits of each code's byte; NaN where the root has no node. ``below``: those of the depths below this tree's."""
         context, byte = code >> 8, code & 255
-        total = np.zeros(len(code))
+        out = np.empty((len(code), 8))
         for b in range(8):
             prefix, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
             p, left, go = np.zeros(len(code)), np.ones(len(code)), np.ones(len(code), bool)
-            last = np.full(len(code), 0.5)
-            for d in range(self.depth + 1):
-                key = ((context & ((1 << 8 * d) - 1)) << 8) | prefix
-                keys = self.keys[d]
+            last = np.full(len(code), np.nan)
+            for d in range(self.root, self.depth + 1):
+                key, keys = ((context & ((1 << 8 * d) - 1)) << 8) | prefix, self.keys[d]
                 if not len(keys):
                     break
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 go = go & (keys[at] == key)
-                one = self.one[d][at].astype(float)
+                one, stop = self.one[d][at].astype(float), self.stop[d][at].astype(float)
                 here = np.where(bit == 1, one, 1 - one)
-                stop = self.stop[d][at].astype(float)
                 p += np.where(go, left * stop * here, 0)
                 left = np.where(go, left * (1 - stop), left)
                 last = np.where(go, here, last)
-            total += np.log10(p + left * last)
-        return total
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        slot = self._slot(code)
-        out = self.slot_value[slot].astype(float)
-        miss = np.flatnonzero(self.slot_code[slot] != code)
-        if len(miss):
-            u, inverse = np.unique(code[miss], return_inverse=True)
-            out[miss] = self._mixed(u)[inverse]
+            if below is not None:
+                last = np.where(np.isnan(below[:, b]), last, below[:, b])
+            out[:, b] = p + left * last
         return out
 
+    def log10(self, code: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of the byte after its context; one half for each bit that nothing was learned of."""
+        p = self.bits(code, below)
+        return np.log10(np.where(np.isnan(p), 0.5, p)).sum(1)
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    u, inverse = np.unique(k, return_inverse=True)
-    return u, np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    k, *values = (np.concatenate(x) for x in zip(*parts))
+    u, *sums = _sums(k, *values)
+    return (u, *(x.astype(np.int64) for x in sums))
 
-def gathered(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``texts``: text. Written counts: what (0 word, 1 context with byte), key, n."""
+
+def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``docs``: text, learns. Written counts: what (0 word, 1 context with byte), key, n (in texts that are learned from), m (in all)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(what: int, parts: list) -> Iterator[pa.RecordBatch]:
-            k, n = _merged(parts)
+        def out(what: int, k: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[a : a + 100_000]), what, np.int32)), pa.array(k[a : a + 100_000].astype(np.int64)), pa.array(n[a : a + 100_000])], names=["what", "key", "n"])
+                part = [x[a : a + 100_000] for x in (k.astype(np.int64), n, m)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), what, np.int32)), *map(pa.array, part)], names=["what", "key", "n", "m"])
 
         held: list[list] = [[], []]
         for batch in batches:
             for b in slices(batch, "text"):
                 data, offsets = utf8(b.column(0))
-                h, _, _, _ = words(data, offsets, WORD)
-                u, n = np.unique(h, return_counts=True)
-                held[0].append((np.append(u, END), np.append(n, len(offsets) - 1)))
-                held[1].append(np.unique(symbols(data, offsets, depth)[0], return_counts=True))
+                learns = np.asarray(b.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
+                h, _, _, rows = words(data, offsets, WORD)
+                h, rows = np.append(h, np.full(len(learns), END)), np.append(rows, np.arange(len(learns)))
+                u, n = np.unique(h[learns[rows]], return_counts=True)
+                held[0].append((u, n, n))
+                code, begin = symbols(data, offsets, depth)
+                seen = learns[np.repeat(np.arange(len(learns)), np.diff(np.append(begin, len(code))))]
+                for part, times in ((code[seen], 1), (code[~seen], 0)):
+                    u, n = np.unique(part, return_counts=True)
+                    held[1].append((u, n * times, n))
                 for what in (0, 1):
                     if sum(len(x[0]) for x in held[what]) > 1_500_000:
-                        yield from out(what, held[what])
-                        held[what] = []
+                        held[what] = [_merged(held[what])]
+                        if len(held[what][0][0]) > 750_000:
+                            yield from out(what, *held[what].pop())
         for what in (0, 1):
             if held[what]:
-                yield from out(what, held[what])
+                yield from out(what, *_merged(held[what]))
 
-    rows = texts.select("text").mapInArrow(count, "what int, key long, n long")
-    return written(rows.groupBy("what", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    rows = docs.select("text", "learns").mapInArrow(count, "what int, key long, n long, m long")
+    return written(rows.groupBy("what", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-counts")
 
 
-def _top(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys, ``most`` of them at most, on the driver: those above a bound taken from a histogram of counts (an eighth of an octave a bin)."""
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+def _top(df: DataFrame, most: int, count: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the most frequent rows, ``most`` of them at most, on the driver: those above a bound taken from a histogram of counts (an eighth of an octave a bin)."""
+    level = F.floor(F.log2(F.col(count).cast("double")) * 8).cast("int")
     left, least = most, -1
     for r in sorted(df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.level):
         if r.k > left:
             least = r.level
             break
         left -= r.k
-    t = df.where(level > least).select("key", "n").toArrow()
-    k, n = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "n"))
+    t = df.where(level > least).select("key", value).toArrow()
+    k, v = (np.asarray(t.column(c).combine_chunks()) for c in ("key", value))
     order = np.argsort(k)
-    return k[order], n[order]
-
-
-def fitted(counts: DataFrame, depth: int = DEPTH, most: int = MOST) -> Tree:
-    deepest = counts.where("what = 1").select("key", "n")
-    tables = []
-    for d in range(depth + 1):
-        level = deepest if d == depth else deepest.groupBy((F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        tables.append(_top(level, most))
-    return Tree(tables)
+    return k[order], v[order]
+
+
+def fitted(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Written log probabilities of all gathered codes: key, m, value."""
+    root = min(ROOT, depth)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by subtree; whole subtrees are weighed, about ``CHUNK`` codes at a time."""
+        names = ["up", "key", "m", "n0", "n1", "weight", "bits"]
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float32())]
+
+        def done(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            code, n, m = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(code)
+            code, n, m = code[order], n[order], m[order]
+            tree = Tree.of(code, n, depth, root)
+            up, size = tree.up, len(tree.up[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, bool)), pa.array(up[0]), pa.nulls(size, pa.int64()), *map(pa.array, up[1:]), pa.nulls(size, kinds[6])], names=names)
+            for a in range(0, len(code), 50_000):
+                part = code[a : a + 50_000]
+                flat = pa.array(tree.bits(part).astype(np.float32).ravel())
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(part) + 1, 8, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), bool)), pa.array(part), pa.array(m[a : a + 50_000]), *(pa.nulls(len(part), k) for k in kinds[3:6]), bits], names=names)
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code, n, m, tree = (b.column(c).to_numpy() for c in range(4))
+            if sum(len(x[0]) for x in held) >= CHUNK:
+                new = np.flatnonzero(tree != last)
+                cut = new[0] if len(new) else len(tree)
+                held.append((code[:cut], n[:cut], m[:cut]))
+                if cut < len(tree):
+                    yield from done(held)
+                    held = [(code[cut:], n[cut:], m[cut:])]
+            else:
+                held.append((code, n, m))
+            last = tree[-1]
+        if held:
+            yield from done(held)
+
+    codes = counts.where("what = 1").select("key", "n", "m", F.shiftright("key", 8).bitwiseAND((1 << 8 * root) - 1).alias("tree"))
+    weighed = codes.repartition("tree").sortWithinPartitions("tree").mapInArrow(weigh, "up boolean, key long, m long, n0 double, n1 double, weight double, bits array<float>")
+    weighed = written(weighed, "lm-subtrees")
+    top = weighed.where("up").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weight")]).orderBy("key").toArrow()
+    keys, n0, n1, weight = (np.asarray(top.column(c).combine_chunks()) for c in ("key", "n0", "n1", "weight"))
+    shared = counts.sparkSession.sparkContext.broadcast(Tree((keys, n0, n1), root - 1, 0, weight))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                below = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8).astype(float)
+                value = shared.value.log10(b.column(0).to_numpy(), below)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value)], names=["key", "m", "value"])
+
+    return written(weighed.where("NOT up").select("key", "m", "bits").mapInArrow(finish, "key long, m long, value double"), "lm-values")
+
+
+class Known:
+    """Values by code; a table of slots answers most look-ups at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.slots = np.zeros(SLOTS, np.int32)
+        self.slots[self._slot(keys)] = np.arange(len(keys))
 
+    @staticmethod
+    def _slot(code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
-def scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), bits_per_byte."""
-    learned = docs.where(learns).select(F.col(text_col).alias("text"))
-    counts = gathered(learned, depth)
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the keys, and which are really there."""
+        if not len(self.keys):
+            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        at = self.slots[self._slot(code)]
+        there = self.keys[at] == code
+        miss = np.flatnonzero(~there)
+        if len(miss):
+            at[miss] = np.minimum(np.searchsorted(self.keys, code[miss]), len(self.keys) - 1)
+            there[miss] = self.keys[at[miss]] == code[miss]
+        return at, there
+
+
+def _lists(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Per row its distinct keys and how often it has each."""
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    edge = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows[new], minlength=n))]).astype(np.int32))
+    times = np.diff(np.append(new, len(keys)))
+    return pa.ListArray.from_arrays(edge, pa.array(keys[new].astype(np.int64))), pa.ListArray.from_arrays(edge, pa.array(times.astype(np.int64)))
+
+
+def scores(
+    docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, frequent_codes: int = FREQUENT_CODES
+) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), bits_per_byte.
+
+    ``depth`` is 1 to 6. ``frequent`` and ``frequent_codes`` only say which counts are broadcast and which are joined.
+    """
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be 1 to 6")
+    counts = gathered(docs.select(F.col(text_col).alias("text"), learns.alias("learns")), depth)
     tokens = counts.where("what = 0").select("key", "n")
     n_all, n_kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent, often = _top(tokens, FREQUENT)
-    shared = docs.sparkSession.sparkContext.broadcast((fitted(counts, depth), frequent.view(np.uint64) if len(frequent) else np.zeros(0, np.uint64), often))
-    order = np.argsort(shared.value[1])
-    shared = docs.sparkSession.sparkContext.broadcast((shared.value[0], shared.value[1][order], often[order] if len(often) else often))
+    values = fitted(counts, depth)
+    keys, often = _top(tokens, frequent, "n", "n")
+    keys = keys.view(np.uint64) if len(keys) else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((Known(keys[order], often[order]), Known(*_top(values, frequent_codes, "m", "value"))))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, often = shared.value
+        known_words, known_codes = shared.value
         for batch in batches:
             for b in slices(batch, "text"):
                 data, offsets = utf8(b.column(1))
                 n = len(offsets) - 1
                 code, begin = symbols(data, offsets, depth)
-                total = np.add.reduceat(tree.log10(code), begin) if n else np.zeros(0)
+                at, hit = known_codes.find(code)
+                value = np.zeros(len(code))
+                value[hit] = known_codes.values[at[hit]]
+                total = np.add.reduceat(value, begin)
+                miss = np.flatnonzero(~hit)
+                codes, code_times = _lists(code[miss], np.searchsorted(begin, miss, "right") - 1, n)
                 h, _, _, rows = words(data, offsets, WORD)
                 h, rows = np.append(h, np.full(n, END)), np.append(rows, np.arange(n))
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                part = np.bincount(rows[hit], weights=np.log10(often[at[hit]] + 1.0), minlength=n)
+                at, hit = known_words.find(h)
+                part = np.bincount(rows[hit], weights=np.log10(known_words.values[at[hit]] + 1.0), minlength=n)
                 known = np.bincount(rows[hit], minlength=n)
-                rh, rr = h[~hit], rows[~hit]
-                order = np.lexsort((rh, rr))
-                rh, rr = rh[order], rr[order]
-                new = np.flatnonzero(np.concatenate([[True], (rh[1:] != rh[:-1]) | (rr[1:] != rr[:-1])])) if len(rh) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(rh)))
-                edge = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rr[new], minlength=n))]).astype(np.int32))
-                rare = pa.ListArray.from_arrays(edge, pa.array(rh[new].astype(np.int64)))
-                times_ = pa.ListArray.from_arrays(edge, pa.array(times.astype(np.int64)))
+                rare, times = _lists(h[~hit], rows[~hit], n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(part), pa.array(total), pa.array(np.diff(offsets).astype(np.int64)), rare, times_],
-                    names=["doc_id", "n_tokens", "known", "part", "score", "n_bytes", "rare", "times"],
+                    [b.column(0), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(part), pa.array(total), pa.array(np.diff(offsets).astype(np.int64)), rare, times, codes, code_times],
+                    names=["doc_id", "n_tokens", "known", "part", "score", "n_bytes", "rare", "times", "codes", "code_times"],
                 )
 
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, part double, score double, n_bytes long, rare array<long>, times array<long>")
+    schema = f"doc_id {kind}, n_tokens long, known long, part double, score double, n_bytes long, rare array<long>, times array<long>, codes array<long>, code_times array<long>"
+    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, schema)
     scored = written(scored.withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
-    each = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    found = each.join(tokens, "key").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rest"))
+
+    def asked(what: int, keys: str, times: str) -> DataFrame:
+        pair = F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times")))
+        return scored.where(F.size(keys) > 0).select("uid", pair.alias("x")).select("uid", F.lit(what).alias("what"), "x.*")
+
+    each = asked(0, "rare", "times").unionAll(asked(1, "codes", "code_times"))
+    values = values.select(F.lit(1).alias("what"), "key", "value")
+    joined = each.join(tokens.select(F.lit(0).alias("what"), "key", F.log10(F.col("n") + 1.0).alias("value")).unionAll(values), ["what", "key"])
+    of = lambda what, x: F.sum(F.when(F.col("what") == what, x))
+    weighed = F.col("times") * F.col("value")
+    found = joined.groupBy("uid").agg(of(0, F.col("times")).alias("more"), of(0, weighed).alias("rest"), of(1, weighed).alias("coded"))
     log_all = float(np.log10(n_all + 1.0 * (n_kinds + 1)))
+    score_ = F.col("score") + F.coalesce("coded", F.lit(0.0))
     return scored.join(found, "uid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
-        "score",
-        (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        score_.alias("score"),
+        (-score_ * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -359,11 +360,7 @@ def test_context_tree_base_and_score(spark):
 def test_context_tree_weighs_as_defined():
     """One binary source by hand: the mixture of depth 0 and depth 1 of the last bit's contexts sums to one over all bytes."""
     code = np.array([(a << 8) | b for a, b in [(0, 97), (97, 98), (98, 97), (97, 98), (98, 0)]], np.int64)
-    tables = []
-    for d in range(2):
-        u, n = np.unique(code & ((1 << 8 * (d + 1)) - 1), return_counts=True)
-        tables.append((u, n))
-    tree = context_tree.Tree(tables)
+    tree = context_tree.Tree.of(*np.unique(code, return_counts=True), 1)
     for context in (0, 97, 98, 200):
         p = 10 ** tree.log10(np.array([(context << 8) | b for b in range(256)], np.int64))
         assert abs(p.sum() - 1) < 1e-5
@@ -372,6 +369,28 @@ def test_context_tree_weighs_as_defined():
     assert abs(tree.one[0][k] - 0.5 / 6) < 1e-6
 
 
+def test_context_tree_in_parts_is_the_whole_tree(spark):
+    """Subtrees in tasks, with most codes and words joined instead of broadcast, against one tree in memory."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.textvec import utf8
+
+    df = all_docs(spark)
+    learns = F.col("doc_id") % 3 != 1
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    for depth in (1, 3, 5):
+        codes = {i: context_tree.symbols(*utf8(pa.array([t])), depth)[0] for i, t in rows}
+        tree = context_tree.Tree.of(*np.unique(np.concatenate([codes[i] for i, _ in rows if i % 3 != 1]), return_counts=True), depth)
+        got = {r.doc_id: r for r in context_tree.scores(df, learns, depth=depth, frequent=100, frequent_codes=3000).collect()}
+        assert len(got) == len(rows)
+        for i, _ in rows[:40]:
+            want = tree.log10(codes[i]).sum()
+            assert abs(got[i].score - want) < 1e-5 * abs(want)
+    every = {r.doc_id: r for r in context_tree.scores(df, learns).collect()}
+    for i, r in got.items():
+        assert r.n_known == every[i].n_known and abs(r.base_score - every[i].base_score) < 1e-6 and abs(r.score - every[i].score) < 1e-6 * abs(r.score)
+
+
 def test_mixing_hits_targets(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     targets = {"good": 0.6, "poor": 0.3, "toxic": 0.1}
