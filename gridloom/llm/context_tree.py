@@ -9,8 +9,9 @@ last node that training saw. The code length of a text is minus its log2 probabi
 Nothing of the model is capped and no machine holds it whole. (context, byte) counts of all documents are gathered
 by map-side and shuffled aggregation, so they grow with the corpus. Contexts that share their last ``ROOT`` bytes
 form a subtree; a task weighs whole subtrees and gives, for every (context, byte) that any text asks for, the
-probability below the root. What leaves a subtree upwards are sums per node of depth ``ROOT`` - 1, at most
-255 * 256 of them, from which the driver weighs the top of the tree; it is broadcast to finish the probabilities.
+probability below the root. What leaves a subtree upwards are sums per node of depth ``ROOT`` - 1: at most 255 for
+each of 65536 pairs of bytes, in texts far fewer. From these the driver weighs the top of the tree, which is broadcast
+to finish the probabilities.
 The log probabilities of the ``FREQUENT_CODES`` most frequent codes are then broadcast, and all others are joined to
 the documents by code, so every byte of every text meets its exact probability. No task sorts or gathers keys to
 find the most frequent: a histogram of their counts gives the bound.
@@ -36,7 +37,7 @@ from .textvec import LOWER, SPACE, slices, utf8, words
 from .work import crc_mod, table, written
 
 DEPTH = 5
-ROOT = 2
+ROOT = 3
 CHUNK = 200_000
 FREQUENT = 1 << 18
 FREQUENT_CODES = 1 << 20
