@@ -42,6 +42,8 @@ CHUNK = 200_000
 FREQUENT = 1 << 18
 FREQUENT_CODES = 1 << 20
 SLOTS = 1 << 21
+SLICE = 1 << 20
+HELD = 1_000_000
 END = np.uint64(0x5EED)
 WORD = ~SPACE
 
@@ -181,7 +183,7 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         held: list[list] = [[], []]
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 data, offsets = utf8(b.column(0))
                 learns = np.asarray(b.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
                 h, _, _, rows = words(data, offsets, WORD)
@@ -193,10 +195,11 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 for part, times in ((code[seen], 1), (code[~seen], 0)):
                     u, n = np.unique(part, return_counts=True)
                     held[1].append((u, n * times, n))
+                del code, seen, rows, h
                 for what in (0, 1):
-                    if sum(len(x[0]) for x in held[what]) > 1_500_000:
+                    if sum(len(x[0]) for x in held[what]) > HELD:
                         held[what] = [_merged(held[what])]
-                        if len(held[what][0][0]) > 750_000:
+                        if len(held[what][0][0]) > HELD // 2:
                             yield from out(what, *held[what].pop())
         for what in (0, 1):
             if held[what]:
@@ -335,7 +338,7 @@ def scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, known_codes = shared.value
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 data, offsets = utf8(b.column(1))
                 n = len(offsets) - 1
                 code, begin = symbols(data, offsets, depth)
@@ -345,6 +348,7 @@ def scores(
                 total = np.add.reduceat(value, begin)
                 miss = np.flatnonzero(~hit)
                 codes, code_times = _lists(code[miss], np.searchsorted(begin, miss, "right") - 1, n)
+                del code, at, hit, value, miss  # before the arrays of the words
                 h, _, _, rows = words(data, offsets, WORD)
                 h, rows = np.append(h, np.full(n, END)), np.append(rows, np.arange(n))
                 at, hit = known_words.find(h)
