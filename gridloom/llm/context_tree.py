@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from .textvec import LOWER, SPACE, slices, utf8, words
 from .work import crc_mod, table, written
 
-DEPTH = 6
+DEPTH = 5
 ROOT = 3
 CHUNK = 200_000
 FREQUENT = 1 << 18
-FREQUENT_CODES = 1 << 21
-SLOTS = 1 << 22
+FREQUENT_CODES = 1 << 20
+SLOTS = 1 << 21
 SLICE = 1 << 20
 HELD = 1_000_000
 END = np.uint64(0x5EED)
