@@ -102,17 +102,30 @@ def as_raster(layer: DataFrame, grid: PixelGrid, controls: Controls, image: str)
     return rasterize(edges_of(layer), grid, get("burn_value"), get("vector_null"), get("all_touched"), layer, get("burn_attribute"), get("where"), get("vector_type"))
 
 
+def layer_of(layers: Any, which: int | str) -> DataFrame:
+    """One layer of a vector input: the input itself, or of a dict or list of layers the one of that name or place."""
+    if isinstance(layers, DataFrame):
+        return layers
+    names = list(layers) if isinstance(layers, dict) else list(range(len(layers)))
+    if which in names:
+        return layers[which]
+    if isinstance(which, int) and 0 <= which < len(names):
+        return layers[names[which]]
+    raise BadOption(f"no such layer: {which!r}")
+
+
 def lined_up(inputs: dict[str, tuple[DataFrame, PixelGrid | None]], controls: Controls) -> tuple[dict[str, tuple[DataFrame, PixelGrid]], PixelGrid]:
     """Every input on pixels in line with the working grid, and that grid.
 
-    An input without a grid is a vector layer in the working grid's projection; it takes no part in the footprint.
+    An input without a grid is a vector layer in the working grid's projection (or a dict or list of layers, of which
+    ``vector_layer`` names one); it takes no part in the footprint.
     """
     grids = {k: g for k, (_, g) in inputs.items() if g is not None}
     grid = working_grid(grids, controls.get("footprint"), controls.get("reference"), controls.get("extent_from"))
     ready = {}
     for k, (px, g) in inputs.items():
         if g is None:
-            ready[k] = (as_raster(px, grid, controls, k), grid)
+            ready[k] = (as_raster(layer_of(px, controls.get("vector_layer", k)), grid, controls, k), grid)
             continue
         if (bands := controls.get("bands", k)) is not None:
             px = select_bands(px, bands)

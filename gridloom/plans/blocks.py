@@ -124,7 +124,7 @@ def apply_all(
     totals = totals or {}
     controls.check(set(inputs) | set(outputs))
     ready, grid = lined_up(inputs, controls)
-    spark = spark or next(iter(inputs.values()))[0].sparkSession
+    spark = spark or next(iter(ready.values()))[0].sparkSession
     size, m = controls.get("block_size"), controls.get("overlap")
     nodata = {k: controls.get("input_nodata", k) for k in inputs}
     bands = {k: (px.agg(F.max("band")).first()[0] or 1) if "band" in px.columns else 1 for k, (px, _) in ready.items()}
@@ -139,6 +139,9 @@ def apply_all(
         dealt = _cells(ready, grid).withColumn("br", F.explode(near(F.col("r")))).withColumn("bc", F.explode(near(F.col("c"))))
         dealt = dealt.where(F.col("br").between(0, (rows - 1) // size) & F.col("bc").between(0, (cols - 1) // size)).unionByName(blocks)
 
+    if (parts := controls.get("partitions")) is not None:  # the grouping keeps this partitioning
+        dealt = dealt.repartition(parts, "br", "bc")
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         top, left = int(key[0]) * size, int(key[1]) * size
         h, w = min(size, rows - top), min(size, cols - left)

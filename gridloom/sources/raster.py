@@ -13,24 +13,32 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FileOpen
+from ..errors import BadOption, FileOpen
 from ..grid import PixelGrid
 from ..operators.stats import band_stats, non_finite
 from ..operators.vector import edges_of, layer_info
 from ..plans.apply import Controls, Result, derive
 
+#: Columnar formats that pixels can be written in.
+PIXEL_FORMATS = ("parquet", "orc")
 
-def write_raster(px: DataFrame, grid: PixelGrid, path: str, nodata: float | None = None, layer_names: list[str] | None = None, thematic: bool = False, stats: bool = True, before_close=None) -> None:
-    """Pixels by band under ``pixels``, one metadata row under ``grid``, statistics under ``stats``."""
+
+def write_raster(px: DataFrame, grid: PixelGrid, path: str, nodata: float | None = None, layer_names: list[str] | None = None, thematic: bool = False, stats: bool = True, before_close=None, kind: str = "parquet", options: dict | None = None) -> None:
+    """Pixels by band under ``pixels``, one metadata row under ``grid``, statistics under ``stats``.
+
+    ``kind`` is the columnar format of the pixels, parquet or orc, and ``options`` go to its writer.
+    """
+    if kind not in PIXEL_FORMATS:
+        raise BadOption(f"pixels are written as {PIXEL_FORMATS}, not {kind!r}")
     if "band" not in px.columns:
         px = px.withColumn("band", F.lit(1))
     spark = px.sparkSession
-    px.write.mode("overwrite").partitionBy("band").parquet(f"{path}/pixels")
+    px.write.mode("overwrite").options(**(options or {})).partitionBy("band").format(kind).save(f"{path}/pixels")
     f = lambda x: None if x is None else float(x)
-    meta = [(grid.crs, f(grid.xmin), f(grid.ymax), f(grid.xres), f(grid.yres), grid.nrows, grid.ncols, f(nodata), thematic, json.dumps(layer_names or []))]
-    spark.createDataFrame(meta, "crs string, xmin double, ymax double, xres double, yres double, nrows int, ncols int, nodata double, thematic boolean, layer_names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
+    meta = [(grid.crs, f(grid.xmin), f(grid.ymax), f(grid.xres), f(grid.yres), grid.nrows, grid.ncols, f(nodata), thematic, json.dumps(layer_names or []), kind)]
+    spark.createDataFrame(meta, "crs string, xmin double, ymax double, xres double, yres double, nrows int, ncols int, nodata double, thematic boolean, layer_names string, format string").coalesce(1).write.mode("overwrite").parquet(f"{path}/grid")
     if stats:
-        band_stats(spark.read.parquet(f"{path}/pixels"), nodata, ("band",)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        band_stats(spark.read.format(kind).load(f"{path}/pixels"), nodata, ("band",)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     if before_close:
         before_close(path)
 
@@ -39,7 +47,7 @@ def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None,
     """Pixels and grid. Bands prune partitions; a window (top, left, rows, cols) is pushed to the scan."""
     try:
         m = spark.read.parquet(f"{path}/grid").first()
-        px = spark.read.parquet(f"{path}/pixels")
+        px = spark.read.format(m.format if "format" in m else "parquet").load(f"{path}/pixels")
     except Exception as e:
         raise FileOpen(path) from e
     if bands is not None:
@@ -58,10 +66,12 @@ def write_job(job: Result, path: str, controls: Controls) -> dict[str, str]:
     """
     paths = {}
     for k, px in job.outputs.items():
+        if name := controls.get("job_name"):
+            px.sparkSession.sparkContext.setJobDescription(f"{name}: {k}")
         at = paths[k] = f"{path}/{k}"
         get = lambda option: controls.get(option, k)  # noqa: B023, E731
-        write_raster(px, job.grid, at, get("nodata"), get("layer_names"), get("thematic"), get("basic_stats") and not get("approximate_stats"))
-        back = px.sparkSession.read.schema(px.schema).parquet(f"{at}/pixels")
+        write_raster(px, job.grid, at, get("nodata"), get("layer_names"), get("thematic"), get("basic_stats") and not get("approximate_stats"), kind=get("format"), options=get("writer_options"))
+        back = px.sparkSession.read.schema(px.schema).format(get("format")).load(f"{at}/pixels")
         done = type(job)({k: back}, job.grid, {}, {}, {}, {})
         derive(done, k, back, controls)
         if get("basic_stats") and get("approximate_stats"):
@@ -75,6 +85,7 @@ def write_job(job: Result, path: str, controls: Controls) -> dict[str, str]:
             bad = non_finite(back).first()
             if bad.has_nan or bad.has_inf:
                 warnings.warn(f"{k} holds NaN or infinite values", stacklevel=2)
+        px.sparkSession.sparkContext.setJobDescription(None)
     return paths
 
 

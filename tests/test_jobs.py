@@ -181,3 +181,27 @@ def test_raw_strips_join_to_a_file(spark, tmp_path):
     data = b"".join(bytes(r.data) for r in spark.read.parquet(str(tmp_path / "s")).orderBy("band", "top").collect())
     (tmp_path / "f.raw").write_bytes(data)
     assert (array(raster.read_raw(spark, str(tmp_path / "f.raw"), 10, 7, "<i2"), a.shape) == a).all()
+
+
+def test_layers_formats_names_and_partitions_have_an_effect(spark, tmp_path):
+    g = PixelGrid.of(0, 0, 8, 8, 1.0)
+    a = np.arange(64).reshape(8, 8)
+    square = lambda x, n: spark.sql(f"SELECT 1L fid, array(named_struct('x', {x}.0, 'y', 0.0), named_struct('x', {x + n}.0, 'y', 0.0), named_struct('x', {x + n}.0, 'y', -{n}.0), named_struct('x', {x}.0, 'y', -{n}.0)) ring")
+    layers = {"small": square(0, 2), "large": square(3, 4)}
+    for which, n in (("large", 16), (0, 4), (1, 16), ("small", 4)):
+        c = Controls().set("vector_layer", which, "v").set("partitions", 3)
+        res = apply_all(lambda info, x, p: {"o": x["v"] * x["a"], "n": x["v"].sum()}, {"v": (layers, None), "a": (image(spark, a), g)}, ["o"], c, totals={"n": "sum"})
+        assert all_totals(res, {"n": "sum"}).first().n == n
+        assert res.cells.rdd.getNumPartitions() == 3
+        job = apply(lambda x, p: {"o": x["v"] * x["a"]}, {"v": (layers, None), "a": (image(spark, a), g)}, c)
+        assert job.outputs["o"].where("v > 0").count() in (n - 1, n)
+    with pytest.raises(BadOption):
+        apply(lambda x, p: {}, {"v": (layers, None), "a": (image(spark, a), g)}, Controls().set("vector_layer", "none", "v"))
+    c = Controls().set("format", "orc", "o").set("writer_options", {"compression": "zlib"}, "o").set("job_name", "trial").set("histogram", False)
+    paths = raster.write_job(apply(lambda x, p: {"o": x["a"] + 1}, {"a": (image(spark, a), g)}, c), str(tmp_path), c)
+    assert list((tmp_path / "o/pixels").rglob("*.zlib.orc"))
+    px, grid = raster.read_raster(spark, paths["o"])
+    assert grid == g and (array(px, (8, 8)) == a + 1).all()
+    assert raster.read_part(spark, paths["o"], "stats").first().vmax == 64
+    with pytest.raises(BadOption):
+        raster.write_raster(image(spark, a), g, str(tmp_path / "x"), kind="csv")
