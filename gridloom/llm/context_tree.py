@@ -105,7 +105,7 @@ def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, and each value summed by them."""
     u, inverse = np.unique(keys, return_inverse=True)
-    return (u, *(np.bincount(inverse, weights=v, minlength=len(u)) for v in values))
+    return (u, *(np.bincount(inverse, weights=v, minlength=len(u)).astype(float) for v in values))  # of nothing it counts in ints
 
 
 class Tree:
@@ -352,7 +352,7 @@ def scores(
                 h, _, _, rows = words(data, offsets, WORD)
                 h, rows = np.append(h, np.full(n, END)), np.append(rows, np.arange(n))
                 at, hit = known_words.find(h)
-                part = np.bincount(rows[hit], weights=np.log10(known_words.values[at[hit]] + 1.0), minlength=n)
+                part = np.bincount(rows[hit], weights=np.log10(known_words.values[at[hit]] + 1.0), minlength=n).astype(float)
                 known = np.bincount(rows[hit], minlength=n)
                 rare, times = _lists(h[~hit], rows[~hit], n)
                 yield pa.RecordBatch.from_arrays(

@@ -357,6 +357,19 @@ def test_context_tree_base_and_score(spark):
     assert got[len(texts) - 1].bits_per_byte < 3
 
 
+def test_context_tree_without_training_texts(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark, ODD)
+    for learns in (F.lit(False), F.lit(None).cast("boolean")):
+        got = {r.doc_id: r for r in context_tree.scores(df, learns).collect()}
+        for i, t in enumerate(ODD):
+            assert (got[i].n_known, got[i].train_tokens, got[i].base_score) == (0, 0, 0)
+            assert abs(got[i].score - 8 * np.log10(0.5) * (len((t or "").encode()) + 1)) < 1e-6 * abs(got[i].score)
+    twice = context_tree.scores(df.unionAll(df), F.lit(True)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k")).collect()
+    assert all((r.n, r.k) == (2, 1) for r in twice) and len(twice) == len(ODD)
+
+
 def test_context_tree_weighs_as_defined():
     """One binary source by hand: the mixture of depth 0 and depth 1 of the last bit's contexts sums to one over all bytes."""
     code = np.array([(a << 8) | b for a, b in [(0, 97), (97, 98), (98, 97), (97, 98), (98, 0)]], np.int64)
