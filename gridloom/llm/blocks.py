@@ -20,7 +20,7 @@ Pairs = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.nda
 
 
 def links(ids: np.ndarray, raw: list[bytes], copies: np.ndarray, role: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """In one block: the asking (role & 1) with links to owned rows (role & 2), how many, and the root of each one's local component."""
+    """In one block: the rows with links from asking (role & 1) to owned ones (role & 2), either side; how many of its own asking each one has, and the root of its local component."""
     q, h = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     none = np.zeros(0, np.int64)
     if not len(q) or not len(h):
@@ -41,12 +41,12 @@ def links(ids: np.ndarray, raw: list[bytes], copies: np.ndarray, role: np.ndarra
         if (label == before).all():
             break
     count = np.bincount(a, weights=copies[j], minlength=len(low)).astype(np.int64)
-    hit = np.unique(a)
+    hit = np.unique(np.concatenate([a, b]))  # a root can be the asking row itself: the found carry the link then
     return low[hit], count[hit], low[label[hit]]
 
 
 def compared(rows: DataFrame, pairs: Pairs, most: int) -> DataFrame:
-    """``rows``: key, rep, copies, own, asks, x (binary). Written: rep, n (copies linked), root."""
+    """``rows``: key, rep, copies, own, asks, x (binary). Written: rep, n (copies linked as asking, 0 for the found), root."""
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     large = written(large.select("key", F.ceil(F.col("n") / most).cast("int").alias("g")), "large-keys")
     g = F.coalesce("g", F.lit(1))

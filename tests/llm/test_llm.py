@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import context_tree, exact_dedup, langid, lattice_dedup, mixing, near_dedup, packing, queries, secret_scan, toxicity, url_filter
+from gridloom.llm import blocks, context_tree, exact_dedup, langid, lattice_dedup, mixing, near_dedup, packing, queries, secret_scan, toxicity, url_filter
 from gridloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -193,6 +193,29 @@ def test_open_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == classes_of(texts)
 
 
+def test_links_of_the_smallest_asking_row():
+    """Row 1 asks and finds 2 and 3, which do not ask: both must carry the link to it."""
+    pairs = lambda raw, q, h: (np.zeros(2, int), np.array([1, 2]))
+    got = blocks.links(np.array([1, 2, 3]), [b""] * 3, np.array([1, 4, 5]), np.array([3, 2, 2]), pairs)
+    assert sorted(zip(*(x.tolist() for x in got))) == [(1, 9, 1), (2, 0, 1), (3, 0, 1)]
+
+
+def test_open_bucket_in_which_the_smallest_linked_row_asks(spark):
+    """One bucket with centre 1: 1~3 and 2~3 are near, 1~2 is not; only 2 asks, and finds a larger id."""
+    base = [f"w43_{i}" for i in range(400)]
+    first, second = list(base), list(base)
+    for i in range(8):
+        first[20 + 20 * i] = f"a{i}"
+        second[220 + 20 * i] = f"b{i}"
+    texts = [" ".join(x) for x in (["alone"], first, second, base)]
+    assert classes_of(texts) == [0, 1, 1, 1] and classes_of(texts[1:3]) == [0, 1]
+    sketches = near_dedup.sketch(docs(spark, texts), k=5, bands=1).collect()
+    assert len({r.bands[0] for r in sketches if r.doc_id}) == 1
+    got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in near_dedup.near_groups(docs(spark, texts), k=5, bands=1).collect()}
+    assert got == {0: (0, 1, True), 1: (1, 3, True), 2: (1, 3, False), 3: (1, 3, False)}
+    assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs(spark, texts), k=5, bands=1).collect()) == [0, 1]
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     g = np.random.default_rng(2)
     h = g.integers(1, 2**63, 60).astype(np.uint64)
