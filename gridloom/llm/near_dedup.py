@@ -14,7 +14,9 @@ out. Components of the links are the classes.
 
 Defined results: null counts as empty; all texts without words are one class. One row per row of the input,
 with doc_id, class_id (smallest id of the class), class_size and kept. Rows repeated under one id are kept
-together. An empty table gives an empty result; other columns are not read.
+together. A null id is no id: such rows join classes by their texts, and are kept only where the whole class has
+null ids; class_id is null there and one row of the class is kept. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import compared
 from .components import components
@@ -122,11 +125,8 @@ def bands_of(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h
 
 
-def elements(col: pa.Array, weights: str = "set", size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, int]:
-    """Shingle hashes, their rows, weights, and a 128-bit hash of each row's word sequence."""
-    data, offsets = utf8(col)
-    n = len(offsets) - 1
-    h, _, _, rows = words(data, offsets, WORD)
+def sequences(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """[n, 2]: a 128-bit hash of each row's word sequence."""
     whole = np.zeros((n, 2), np.uint64)
     if len(h):
         count = np.bincount(rows, minlength=n)
@@ -137,6 +137,15 @@ def elements(col: pa.Array, weights: str = "set", size: int = SIZE) -> tuple[np.
             each = mix(mix(h + np.uint64(salt)) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
             whole[some, j] = np.add.reduceat(each, begin[some])
         whole[:, 0] += count.astype(np.uint64)
+    return whole
+
+
+def elements(col: pa.Array, weights: str = "set", size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, int]:
+    """Shingle hashes, their rows, weights, and a 128-bit hash of each row's word sequence."""
+    data, offsets = utf8(col)
+    n = len(offsets) - 1
+    h, _, _, rows = words(data, offsets, WORD)
+    whole = sequences(h, rows, n)
     s, r = shingles(h, rows, n, size)
     if weights == "set":
         return s, r, None, whole, n
@@ -184,6 +193,22 @@ def sketch(docs: DataFrame, weights: str = "set", size: int = SIZE, k: int = K,
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, whole binary, bands array<long>")
 
 
+def _sequenced(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the hash of each text's word sequence, as in ``sketch``, in column ``name``."""
+    kinds = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
+    at = rows.columns.index(text_col)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, text_col):
+                data, offsets = utf8(b.column(at))
+                h, _, _, r = words(data, offsets, WORD)
+                whole = sequences(h, r, b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in whole], pa.binary())], names=kinds.names)
+
+    return rows.mapInArrow(add, kinds)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights: str, size: int, threshold: float) -> DataFrame:
     """The pairs (a, b), each with ok: whether the similarity reaches the threshold."""
 
@@ -193,44 +218,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: str, size: int, thres
                 ok = similarity(b.column(2), b.column(3), weights, size) >= threshold - 1e-12
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return written(two.mapInArrow(check, "a long, b long, ok boolean"), "near-verified")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weights: str = "set", size: int = SIZE, k: int = K, bands: int = BANDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept."""
+    return _grouped(docs, id_col, text_col, threshold, weights, size, k, bands).drop("whole")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, weights: str = "set", size: int = SIZE, k: int = K, bands: int = BANDS) -> DataFrame:
+    """``near_groups`` with whole. A node is a word sequence, named by the number of one of its rows, so it needs no id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    sketches = written(sketch(docs, weights, size, k, bands), "near-sketch")
-    first = written(sketches.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-reps")
-    reps = sketches.join(first, "whole").where("doc_id = rep AND bands IS NOT NULL").select("rep", "bands")
-    each = reps.select("rep", F.explode("bands").alias("bucket"))
-    starred = each.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sketches = written(sketch(docs, weights, size, k, bands).withColumn("uid", F.monotonically_increasing_id()), "near-sketch")
+    first = written(sketches.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies")), "near-reps")
+    reps = sketches.where("bands IS NOT NULL").join(first.select("node"), F.col("uid") == F.col("node")).select("node", "bands")
+    each = reps.select("node", F.explode("bands").alias("bucket"))
+    starred = each.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     starred = written(starred, "near-buckets")
     members = written(each.join(starred.select("bucket", "centre"), "bucket"), "near-members")
-    pairs = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    wanted = written(members.select("rep").distinct(), "near-candidates")
-    texts = written(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    wanted = written(first.join(members.select("node").distinct(), "node").select("node", "rep", "whole"), "near-candidates")
+    named = docs.join(wanted.select("rep").where("rep IS NOT NULL").distinct(), docs.doc_id == F.col("rep"), "left_semi")
+    texts = _sequenced(named.unionByName(docs.where("doc_id IS NULL")).select("text"), "text", "whole").dropDuplicates(["whole"])
+    texts = written(texts.join(wanted, "whole").select("node", "text"), "near-texts")
     tested = _verified(pairs, texts, weights, size, threshold)
-    parts = components(tested.where("ok").select("a", "b"))
+    # texts under one smallest id are one class
+    least = first.where("rep IS NOT NULL").groupBy("rep").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    together = first.join(least, "rep").where("node <> b").select(F.col("node").alias("a"), "b")
+    linked = written(tested.where("ok").select("a", "b").unionByName(together), "near-linked")
+    parts = components(linked)
     more = compared(_open_buckets(members, parts, texts), _similar(weights, size, threshold), MOST)
     more = more.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    parts = components(tested.where("ok").select("a", "b").unionByName(more))
-    classes = first.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("whole", "copies", F.coalesce("component", "rep").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = written(classes.join(sizes, "class_id").select("whole", "class_id", "class_size"), "near-classes")
-    out = sketches.select("doc_id", "whole").join(classes, "whole").select("doc_id", "class_id", "class_size")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    parts = components(linked.unionByName(more))
+    classes = first.join(parts.withColumnRenamed("id", "node"), "node", "left").select("whole", "rep", "node", "copies", F.coalesce("component", "node").alias("part"))
+    sizes = classes.groupBy("part").agg(F.min("rep").alias("class_id"), F.min("node").alias("stays"), F.sum("copies").alias("class_size"))
+    classes = written(classes.join(sizes, "part").select("whole", "class_id", "stays", "class_size"), "near-classes")
+    out = sketches.select("doc_id", "uid", "whole").join(classes, "whole")
+    kept = F.when(F.col("class_id").isNull(), F.col("uid") == F.col("stays")).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"), "whole")
 
 
 def _open_buckets(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows for ``compared``: the members of buckets that hold several components. All can be found; those outside the largest one ask."""
-    labelled = members.select("bucket", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
+    labelled = members.select("bucket", F.col("node").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
     per = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = written(mixed.select("bucket", F.col("top.part").alias("top")), "near-mixed")
     inside = written(labelled.join(mixed, "bucket").select(F.col("bucket").alias("key"), "rep", (F.col("part") != F.col("top")).alias("asks")), "near-mixed-members")
-    return inside.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("x")), "rep").withColumns({"copies": F.lit(1).cast("long"), "own": F.lit(True)})
+    return inside.join(texts.select(F.col("node").alias("rep"), F.col("text").cast("binary").alias("x")), "rep").withColumns({"copies": F.lit(1).cast("long"), "own": F.lit(True)})
 
 
 def _similar(weights: str, size: int, threshold: float):
@@ -266,9 +303,13 @@ def _similar(weights: str, size: int, threshold: float):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class, with the columns of ``docs``."""
-    kept = near_groups(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("_gl_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("_gl_id"), "left_semi")
+    """The rows of ``docs`` with the smallest id of their class, and one row of each class without ids, with the columns of ``docs``."""
+    kept = written(_grouped(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("_gl_id"), F.col("whole").alias("_gl_whole")), "near-kept")
+    own = F.col(f"`{id_col}`").cast("long")
+    named = docs.join(kept.where("_gl_id IS NOT NULL").select("_gl_id").distinct(), own == F.col("_gl_id"), "left_semi")
+    rest = _sequenced(docs.where(own.isNull()), text_col, "_gl_whole").dropDuplicates(["_gl_whole"])
+    rest = rest.join(kept.where("_gl_id IS NULL").select("_gl_whole"), "_gl_whole", "left_semi")
+    return named.unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

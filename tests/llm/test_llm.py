@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import blocks, context_tree, exact_dedup, langid, lattice_dedup, mixing, near_dedup, packing, queries, secret_scan, toxicity, url_filter
@@ -216,6 +217,23 @@ def test_open_bucket_in_which_the_smallest_linked_row_asks(spark):
     assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs(spark, texts), k=5, bands=1).collect()) == [0, 1]
 
 
+def test_near_groups_of_null_ids(spark):
+    base = [f"n{i}" for i in range(200)]
+    near, other = [*base[:-1], "changed"], [f"m{i}" for i in range(200)]
+    texts = [base, base, near, other, [*other[:-1], "changed"], ["one"], [], [], [f"k{i}" for i in range(50)]]
+    ids = [None, None, None, 7, None, None, None, None, 9]
+    rows = [(i, " ".join(t), "en", str(n), 0) for n, (i, t) in enumerate(zip(ids, texts))] + [(None, None, "en", "9", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("whole", F.lit("clash"))
+    got = sorted(map(str, map(tuple, near_dedup.near_groups(df).collect())))
+    want = [(None, None, 3, True)] + [(None, None, 3, False)] * 2 + [(7, 7, 2, True), (None, 7, 2, False), (None, None, 1, True)]
+    want += [(None, None, 3, True)] + [(None, None, 3, False)] * 2 + [(9, 9, 1, True)]
+    assert got == sorted(map(str, want))
+    kept = near_dedup.drop_near_copies(df)
+    left = [r.source for r in kept.collect()]
+    assert kept.columns == df.columns and len(left) == 5
+    assert [sum(x in part for x in left) for part in ("012", "3", "4", "5", "679", "8")] == [1, 1, 0, 1, 1, 1]
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     g = np.random.default_rng(2)
     h = g.integers(1, 2**63, 60).astype(np.uint64)
