@@ -8,7 +8,7 @@ size the capacity bounds; each piece finds its slot by its rank among the pieces
 from per-task counters and a prefix sum over (length, task), so no task ever holds the pieces of one length.
 
 Token ids are those of ``byte_bpe_50k.json``. The same vocabulary as ranks gives the same ids several times
-faster; a text of a special token's name is ordinary text.
+faster; the name of a special token in a text is that token, as the tokenizer has it by default.
 
 Defined results: a null text counts as empty and is one piece of one id (0). Documents of up to ``capacity``
 ids stay whole; longer ones are cut from the end, so only the first piece may be shorter. Rows repeated
@@ -21,7 +21,7 @@ import base64
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ from .work import table, written
 
 CAPACITY = 2048
 RANKS = "byte_bpe_50k.tiktoken"
+#: The added tokens of ``byte_bpe_50k.json``; the ranks leave them out.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=1)
@@ -43,7 +45,7 @@ def encoder(name: str = RANKS):
 
     with open(public_tokenizers.path(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -136,7 +138,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(ranks).encode_ordinary, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, task, seen = partial(encoder(ranks).encode, allowed_special="all"), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for whole in batches:
             for b in slices(whole, "text", 8 << 20):
                 rows: list[list] = [[] for _ in range(6)]

@@ -301,6 +301,22 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    """Ids are those of the tokenizer at its defaults, where a special token's name in a text is that token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"good text {end} more text", end, end * 3, f"a{end}b", f"{end}  x \n{end}\n", "<|endoftext|", f"<{end}>", "<|ENDOFTEXT|>", f"word {end} " * 900]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        pieces = [r for r in out if r.doc_id == i]
+        assert sum(r.length for r in pieces) == len(ids) and (ids == 50256).sum() == text.count(end)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces)
+
+
 def test_packing_counts_place_every_item():
     g = np.random.default_rng(0)
     for _ in range(20):
