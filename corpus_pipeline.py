@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from gridloom.llm.work import crc_mod, table, written
 
-#: Quality mix of the corpus; domains only grow, so no document is lost.
+#: Quality mix of the corpus; domains only grow, so no document is lost, and none is there more than ``MOST`` times.
 TARGETS = {"good": 0.85, "poor": 0.15}
+MOST = 16
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     domains = mixing.label_domains(table(spark, sf_dir, "labels"))
-    return mixing.mixed_documents(docs, domains, TARGETS, grow_only=True)
+    return mixing.mixed_documents(docs, domains, TARGETS, grow_only=True, most=MOST)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,13 +40,14 @@ def _bin(x: Column) -> Column:
     return F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.log2(1 + 512 * x)))).cast("int")
 
 
-def features(docs: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One compact row per document, from one scan: doc_id, tokens, bins."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def features(docs: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:
+    """One row per document, from one scan: doc_id, tokens, bins, and what is ``carried`` along."""
+    carried = [c.alias(f"_gl_{k}") for k, c in enumerate(carried or [])]
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *carried)
     t, words = F.col("t"), "|".join(lexicon)
     tokens = F.regexp_count(t, F.lit(TOKEN))
     hits = F.regexp_count(t, F.lit(rf"(?i)\b(?:{words})\b")) if lexicon else F.lit(0)
-    d = d.select("doc_id", F.char_length(t).alias("n"), tokens.alias("tokens"), *[F.regexp_count(t, F.lit(p)).alias(k) for k, p in (("s", r"[%$#&*!|=<>{}\[\]\\^~]{2,}"), ("c", r"[A-Z]{2,}"), ("g", r"[0-9]+"), ("b", r"\n"))], hits.alias("x"))
+    d = d.select("doc_id", F.char_length(t).alias("n"), tokens.alias("tokens"), *[F.regexp_count(t, F.lit(p)).alias(k) for k, p in (("s", r"[%$#&*!|=<>{}\[\]\\^~]{2,}"), ("c", r"[A-Z]{2,}"), ("g", r"[0-9]+"), ("b", r"\n"))], hits.alias("x"), *[f"_gl_{k}" for k in range(len(carried))])
     per = lambda c: F.col(c) / F.greatest("tokens", F.lit(1))
     bins = [
         F.least(F.lit(BINS - 1), F.floor(F.log2(1.0 + F.col("n")) / 2)).cast("int"),
@@ -57,7 +58,7 @@ def features(docs: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_c
         F.least(F.lit(BINS - 1), F.col("x")).cast("int"),
         F.least(F.lit(BINS - 1), F.floor(per("n"))).cast("int"),
     ]
-    return d.select("doc_id", F.col("tokens").cast("long").alias("tokens"), F.array(*bins).alias("bins"))
+    return d.select("doc_id", F.col("tokens").cast("long").alias("tokens"), F.array(*bins).alias("bins"), *[f"_gl_{k}" for k in range(len(carried))])
 
 
 def learned_lexicon(docs: DataFrame, domains: DataFrame, most_sample: int = 3000, most_words: int = 24, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
@@ -109,21 +110,23 @@ def classifier(feats: DataFrame, domains: DataFrame, names: list[str], lexicon:
     )
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: float | None = None, grow_only: bool = False, rounds: int = 40, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tokens, p_<domain> for each, rate, copies.
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: float | None = None, grow_only: bool = False, most: float | None = None, rounds: int = 40, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:
+    """doc_id, tokens, p_<domain> for each, rate, copies, and what is ``carried`` along.
 
     ``domains`` (id, domain) labels some documents; ``targets`` weighs the domains. ``total`` tokens are aimed
     at: by default as many as there are; with ``grow_only`` the least number for which no domain must shrink, and
-    no rate falls below 1.
+    no rate falls below 1. ``most`` is the highest rate that the projection allows; without it a domain with next to no
+    documents repeats those it has as often as its target asks.
     """
     names = sorted(targets)
     domains = domains.where(F.col("domain").isin(names) & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain"))
     domains = written(domains, "mix-domains")
     lexicon = learned_lexicon(docs, domains, id_col=id_col, text_col=text_col)
-    feats = written(features(docs, lexicon, id_col, text_col), "mix-features")
+    feats = written(features(docs, lexicon, id_col, text_col, carried), "mix-features")
     model = classifier(feats, domains, names, lexicon)
     p = model.posterior(F.col("bins"))
-    soft = written(feats.select("doc_id", "tokens", *[p[k].alias(f"p_{k}") for k in names]), "mix-posteriors")
+    posteriors = [p[k].alias(f"p_{k}") for k in names]
+    soft = written(feats.select("doc_id", "tokens", *posteriors), "mix-posteriors")
     w = F.col("tokens").cast("double")
     cols = [F.col(f"p_{k}") for k in names]
     moments = soft.agg(*[F.coalesce(F.sum(w * a), F.lit(0.0)) for a in cols], *[F.coalesce(F.sum(w * a * b), F.lit(0.0)) for a in cols for b in cols]).first()
@@ -135,6 +138,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: f
         total = max((h / x for h, x in zip(have, weights) if x > 0), default=0.0)
     target = weights * (have.sum() if total is None else total)
     inverse, least = np.linalg.pinv(m), 1.0 if grow_only else 0.0
+    allowed = lambda r: F.greatest(F.lit(least), r if most is None else F.least(F.lit(float(most)), r))
     steps: list[list[float]] = []
     rate: Column = F.lit(1.0)
     for _ in range(rounds):
@@ -143,23 +147,26 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: f
             break
         steps.append([float(x) for x in inverse @ gap])
         history = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-        rate = F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(least), r + sum((c * F.element_at(s, i + 1) for i, c in enumerate(cols)), F.lit(0.0))))
+        rate = F.aggregate(history, F.lit(1.0), lambda r, s: allowed(r + sum((c * F.element_at(s, i + 1) for i, c in enumerate(cols)), F.lit(0.0))))
         before, have = have, np.array(soft.agg(*[F.coalesce(F.sum(w * a * rate), F.lit(0.0)) for a in cols]).first())
         if np.abs(have - before).max() <= tolerance * max(1.0, target.sum()):
             break
-    out = soft.withColumn("rate", rate)
+    # what is carried stays where it was written: no join brings rates to it
+    out = feats.select("doc_id", "tokens", *posteriors, *[f"_gl_{k}" for k in range(len(carried))]) if carried else soft
+    out = out.withColumn("rate", rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
 
 
 def mixed_documents(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Every document as often as its ``copies`` say, with the columns of ``docs``."""
+    """Every document as often as its ``copies`` say, with the columns of ``docs``.
+
+    The scan that takes the features writes the columns beside them, so that text moves in no shuffle.
+    """
     names = docs.columns
-    plan = mix(docs, domains, targets, id_col=id_col, text_col=text_col, **how)
-    often = plan.where("copies <> 1").groupBy(F.col("doc_id").alias("_gl_id")).agg(F.max("copies").alias("_gl_n"))
-    joined = docs.join(often, F.col(f"`{id_col}`").eqNullSafe(F.col("_gl_id")), "left")
-    again = joined.withColumn("_gl_k", F.explode(F.array_repeat(F.lit(1), F.coalesce("_gl_n", F.lit(1)))))
-    return again.select(*[F.col(f"`{c}`") for c in names])
+    plan = mix(docs, domains, targets, id_col=id_col, text_col=text_col, carried=[F.col(f"`{c}`") for c in names], **how)
+    again = plan.withColumn("_gl_again", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return again.select(*[F.col(f"_gl_{k}").alias(c) for k, c in enumerate(names)])
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
