@@ -10,7 +10,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_cha
     """Texts and labels of a sample that depends on ids alone: those whose hashed id comes first.
 
     ``labels``: id (string), y. ``most_rows`` a label and ``most_chars`` in all are the documented bounds. Ids are
-    ranked without texts; lengths and then whole texts are fetched by broadcast joins on the chosen few.
+    ranked without texts; lengths and then whole texts are fetched by broadcast joins on the chosen few. A text that
+    no longer fits a label's share of the characters is left out and shorter ones after it still count; of a label of
+    which no text fits, the shortest is taken.
     """
     spark = docs.sparkSession
     labels = labels.where("y IS NOT NULL AND id IS NOT NULL")
@@ -23,11 +25,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_cha
     named = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
     wanted = spark.createDataFrame(first, ["id", "y", "k"]).dropDuplicates(["id"]).coalesce(1)
     lengths = named.select("id", F.char_length("t").alias("n")).join(F.broadcast(wanted), "id").collect()
-    share, used, chosen = most_chars // len({y for _, y, _ in first}), {}, []
-    for r in sorted(lengths, key=lambda r: (r.y, r.k)):
-        used[r.y] = used.get(r.y, 0) + r.n
-        if used[r.y] <= share or used[r.y] == r.n:
-            chosen.append((r.id, r.y))
+    chosen = fitting([(r.id, r.y, r.n) for r in sorted(lengths, key=lambda r: (r.y, r.k, r.id, r.n))], most_chars // len({y for _, y, _ in first}))
     got = named.join(F.broadcast(spark.createDataFrame(chosen, ["id", "y"]).dropDuplicates(["id"]).coalesce(1)), "id").collect() if chosen else []
     got.sort(key=lambda r: (r.id, r.t))
     return [r.t for r in got], [r.y for r in got]
+
+
+def fitting(rows: list[tuple[str, object, int]], share: int) -> list[tuple[str, object]]:
+    """Of (id, label, length) in their order, those that fit ``share`` characters a label, or else a label's shortest. An id that several rows have counts with all of them."""
+    size: dict[tuple[str, object], int] = {}
+    for id_, y, n in rows:
+        size[id_, y] = size.get((id_, y), 0) + n
+    used: dict[object, int] = {y: 0 for _, y in size}
+    chosen = []
+    for (id_, y), n in size.items():
+        if used[y] + n <= share:
+            used[y] += n
+            chosen.append((id_, y))
+    none = used.keys() - {y for _, y in chosen}
+    return chosen + [min((k for k in size if k[1] == y), key=lambda k: (size[k], k[0])) for y in sorted(none)]

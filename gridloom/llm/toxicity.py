@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Every word is a hashed word vector beside the mean of its hashed character n-gram vectors. Windows of
-``WINDOW`` words, each overlapping the next, cover the whole text; one network (a GRU in each direction,
+``WINDOW`` words start at every ``STRIDE``th word and cover the whole text, so any passage of up to a window less a
+stride lies whole in one of them; one network (a GRU in each direction,
 attention pooling, a logistic output) scores each of them, and a document's score is that of its worst window.
 Trained in numpy by back-propagation on windows of a bounded sample of labelled documents (``most_rows`` a
 label, ``most_chars`` in all): the worst window of each document and a random one of each clean document.
@@ -26,7 +27,7 @@ from .sampling import labelled_sample
 from .textvec import LETTER, mix, slices, utf8, words
 from .work import crc_mod, table
 
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 16
 BUCKETS = 1 << 17
 DIM, HIDDEN, ATTEND = 6, 6, 6
 GRAMS = (3, 4, 5)
