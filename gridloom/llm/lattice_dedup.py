@@ -36,6 +36,9 @@ from .work import table, written
 
 #: Rows in a block of a cell, at most.
 MOST = 4096
+#: The smallest cell, and the largest radius in cells: home cells of two points at distance r lie 2 + r/cell apart at
+#: most, and ``steps`` has all neighbours closer than the next longer ones, sqrt(6).
+CELL, REACH = 0.25, 0.44
 SLACK = 1e-7
 
 
@@ -101,6 +104,8 @@ def turned(x: np.ndarray) -> np.ndarray:
 
 def probes(x: np.ndarray, radius: float, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For points [n, 8]: point numbers, cell hashes, and whether it is the point's own cell."""
+    if radius > (np.sqrt(6) - 2) * cell:
+        raise ValueError(f"cells of {cell} are too small for a radius of {radius}")
     y = x / cell
     home = nearest_e8(y)
     m, length = steps()
@@ -128,8 +133,12 @@ def alike(least, unpack):
     return pairs
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell: float = 0.25, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
+
+    ``cell`` is the lattice's scale; by default it follows from the threshold and each vector's dimension. One that is
+    too small for the neighbours probed here raises an error, since pairs could be missed.
+    """
     v = F.col(vector_col).cast("array<float>")
     finite = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v"), F.col(label_col).cast("string").alias("label"), F.coalesce(F.col(label_col).isNotNull() & finite, F.lit(False)).alias("good"))
@@ -147,8 +156,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell: float = 0.25
                     small = np.rint(x / np.sqrt((x * x).sum(1, keepdims=True)) * 127).astype(np.int8)
                     raw = pa.array([r.tobytes() for r in small], pa.binary())
                     radius = float(np.sqrt((2 - 2 * threshold) / blocks.shape[1])) + SLACK
+                    scale = max(CELL, radius / REACH) if cell is None else cell
                     for t in range(blocks.shape[1]):
-                        which, h, own = probes(blocks[:, t], radius, cell)
+                        which, h, own = probes(blocks[:, t], radius, scale)
                         key = mix(h ^ salt[which] ^ mix(np.full(1, t + 1, np.uint64))).astype(np.int64)
                         cols = [pa.array(key), part.column(2).take(pa.array(which)), pa.array(own), raw.take(pa.array(which))]
                         yield pa.RecordBatch.from_arrays(cols, names=["key", "rep", "own", "x"])
