@@ -56,6 +56,18 @@ def test_exact_groups_on_odd_texts(spark):
     assert exact_dedup.exact_groups(twice).where("kept").count() == 2 and exact_dedup.drop_copies(twice).count() == 2
 
 
+def test_exact_stage_with_hot_ids_and_files(spark, tmp_path):
+    """A null id in half of all rows, a repeated id with several texts, and copies over several files."""
+    rows = [(None, f"t {i % 7}") for i in range(60)] + [(5, f"u{i % 3}") for i in range(30)] + [(100 + i, "t 1" if i % 2 else f"own {i}") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gl_n", F.lit("clash")).repartition(5)
+    want = {WS.sub("", t) for _, t in rows}
+    d.write.parquet(str(tmp_path / "d"))
+    for each in (d, spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "d")).where("text <> 'own 0'")):
+        kept = exact_dedup.drop_copies(each)
+        texts = [WS.sub("", r.text) for r in kept.collect()]
+        assert kept.columns == each.columns and len(texts) == len(set(texts)) and want - set(texts) <= {"own0"}
+
+
 @pytest.mark.parametrize("name", ["op2_lattice_dedup", "op3_exact_dedup", "op7_url_filter"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
@@ -125,6 +137,20 @@ def test_lattice_grid_of_blocks(spark, monkeypatch):
     assert sorted(map(tuple, lattice_dedup.near_vectors(df).collect())) == want
 
 
+def test_lattice_cells_follow_the_radius(spark):
+    """Few dimensions and a low threshold need larger cells than the query's; smaller ones are refused."""
+    g = np.random.default_rng(8)
+    for dim, threshold in ((8, 0.98), (16, 0.9)):
+        x = (g.normal(size=(8, dim))[:, None] + g.normal(size=(8, 25, dim)) * 0.25).reshape(-1, dim).astype(np.float32)
+        df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+        unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+        near = unit @ unit.T >= threshold
+        got = {r.vec_id: r.n_links for r in lattice_dedup.near_vectors(df, threshold).collect()}
+        assert near.sum() > 2 * len(x) and all(got[i] == near[i].sum() - 1 for i in range(len(x)))
+    with pytest.raises(Exception, match="too small"):
+        lattice_dedup.near_vectors(df, 0.9, cell=0.25).collect()
+
+
 def test_e8_decoding():
     m, length = lattice_dedup.steps()
     assert len(m) == 2400 and len(np.unique(m, axis=0)) == 2400
@@ -360,6 +386,30 @@ def test_toxicity(spark):
     assert toxicity.train(["x"], [1]) is None and toxicity.score_documents(docs(spark, ODD), None).count() == len(ODD)
 
 
+def test_toxic_passage_at_every_offset():
+    """A passage of a window less a stride is whole in one window, wherever it begins."""
+    fine = "the river runs past quiet green hills and old stone mills by day".split()
+    bad = ("you are a stupid worthless idiot and I hate you so much go away " * 3).split()[: toxicity.WINDOW - toxicity.STRIDE]
+    train = [" ".join(fine * 3), " ".join(fine[::-1] * 3), " ".join(bad)] * 12
+    net = toxicity.train(train, [0, 0, 1] * 12)
+    clean = (fine * 20)[:200]
+    texts = [" ".join(clean[:k] + bad + clean[k:]) for k in range(len(clean))] + [" ".join(clean)]
+    x = toxicity.Features(pa.array(texts, pa.large_string()))
+    at = {(r, s - int(x.count[:r].sum())) for r, s in zip(x.window_row, x.window_start)}
+    assert all(any((k, s) in at for s in range(max(0, k + len(bad) - toxicity.WINDOW), k + 1)) for k in range(len(clean)))
+    score = net.score(pa.array(texts))
+    assert (score[:-1] >= 0.5).all() and score[-1] < 0.5
+
+
+def test_samples_skip_what_does_not_fit():
+    from gridloom.llm.sampling import fitting
+
+    rows = [("a", 0, 900), ("b", 0, 10), ("c", 1, 60), ("d", 0, 40), ("e", 1, 50), ("f", 1, 30), ("d", 0, 45)]
+    assert fitting(rows, 100) == [("b", 0), ("c", 1), ("d", 0), ("f", 1)]
+    assert fitting([("a", 0, 900), ("b", 0, 500), ("c", 1, 5)], 100) == [("c", 1), ("b", 0)]
+    assert fitting([], 100) == []
+
+
 def test_toxicity_gradients():
     import pyarrow as pa
 
@@ -479,6 +529,10 @@ def test_mixing_hits_targets(spark):
     assert np.allclose(rate, [r.rate for r in out], atol=1e-3)
     grown = mixing.mix(all_docs(spark), mixing.label_domains(labels), {"good": 0.85, "poor": 0.15}, grow_only=True)
     assert grown.where("copies < 1").count() == 0
+    d = docs(spark, ODD)
+    again = mixing.mixed_documents(d, mixing.label_domains(labels), targets, grow_only=True, most=3)
+    assert again.columns == d.columns and {(r.doc_id, r.text) for r in again.collect()} == set(enumerate(ODD)) and len(ODD) <= again.count() <= 3 * len(ODD)
+    assert mixing.mixed_documents(d.limit(0), mixing.label_domains(labels), targets).count() == 0
     none = labels.limit(0)
     assert mixing.mix(docs(spark, ODD), mixing.label_domains(none), targets).count() == len(ODD)
     assert mixing.mix(docs(spark, ODD).limit(0), mixing.label_domains(labels), targets).count() == 0
