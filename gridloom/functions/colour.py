@@ -27,6 +27,17 @@ def add_ramp(name: str, points: list[tuple[int, int, int]]) -> None:
     _RAMPS[name] = points
 
 
+def read_ramps(spark: SparkSession, path: str) -> list[str]:
+    """Adds the ramps of a CSV file with a header (name, position, red, green, blue) and gives their names."""
+    rows = spark.read.csv(path, header=True, schema="name string, position int, red int, green int, blue int").orderBy("name", "position").collect()
+    points: dict[str, list[tuple[int, int, int]]] = {}
+    for r in rows:
+        points.setdefault(r.name, []).append((r.red, r.green, r.blue))
+    for name, p in points.items():
+        add_ramp(name, p)
+    return list(points)
+
+
 def ramp_names() -> list[str]:
     return [*_RAMPS, "RANDOM"]
 

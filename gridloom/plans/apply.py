@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,7 +20,8 @@ from ..operators.focal import block_apply
 from ..operators.stats import approximate_stats, band_stats, histogram_direct, histogram_float, histogram_ints, pyramid_average, pyramid_levels, pyramid_nearest
 from ..operators.vector import edges_of, rasterize
 
-#: Options and their defaults; each can be set for all images or for one.
+#: Options and their defaults; each can be set for all images or for one. ``progress`` is called with (percent, name) as
+#: outputs are written; ``temp_dir`` is a folder that all executors share, in which outputs are kept for what is made of them.
 DEFAULTS: dict[str, Any] = {
     "overlap": 0,
     "block_size": 256,
@@ -155,6 +157,8 @@ def apply(fn: Callable[..., dict[str, Column] | None], inputs: dict[str, tuple[D
     made = fn({k: F.col(k) for k in inputs}, params) or {}
     controls.check(made_of | set(made))
     outputs = {k: table.select("r", "c", c.alias("v")) for k, c in made.items()}
+    if there := controls.get("temp_dir"):  # outputs are made once; all that is derived reads them there
+        outputs = {k: _kept(px, f"{there.rstrip('/')}/{k}-{uuid.uuid4().hex}") for k, px in outputs.items()}
     job = Result(outputs, grid, {}, {}, {}, {})
     for k, px in outputs.items():
         derive(job, k, px, controls)
@@ -163,6 +167,11 @@ def apply(fn: Callable[..., dict[str, Column] | None], inputs: dict[str, tuple[D
     return job
 
 
+def _kept(px: DataFrame, path: str) -> DataFrame:
+    px.write.parquet(path)
+    return px.sparkSession.read.schema(px.schema).parquet(path)
+
+
 def derive(job: Result, name: str, px: DataFrame, controls: Controls) -> None:
     """Adds what is made from an output's pixels to ``job``: statistics, histogram, pyramids, colours."""
     get = lambda option: controls.get(option, name)

@@ -42,7 +42,8 @@ def ev(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ev_grid(spark: SparkSession, d: str, xmin: float = 0.0, ymax: float = 0.0, res: float = 1.0) -> PixelGrid:
-    return PixelGrid.of(xmin, ymax, 100, _t(spark, d, "events").count() // 100, res)
+    top = _t(spark, d, "events").agg(F.max("event_id")).first()[0]
+    return PixelGrid.of(xmin, ymax, 100, 0 if top is None else top // 100 + 1, res)
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -410,9 +411,9 @@ def _(spark, d):
     return rat.joined({"s": s, "c": c.join(s.select("row_id"), "row_id", "left_semi")})
 
 
-@query("rat_write_byte256", "WITH b AS (SELECT unnest(generate_series(0, 255)) AS row_id) SELECT row_id, s_acctbal AS bal FROM b LEFT JOIN supplier ON s_suppkey = row_id AND s_suppkey < 100")
+@query("rat_write_byte256", "WITH b AS (SELECT unnest(generate_series(0, 255)) AS row_id) SELECT row_id, s_acctbal AS bal FROM b LEFT JOIN supplier ON s_suppkey = row_id")
 def _(spark, d):
-    s = _t(spark, d, "supplier").where("s_suppkey < 100").select(F.col("s_suppkey").alias("row_id"), F.col("s_acctbal").alias("bal"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_acctbal").alias("bal"))
     return rat.write_column(s.select("row_id"), "bal", s, byte_band=True)
 
 
@@ -549,12 +550,16 @@ def _(spark, d):
 
 @query(
     "warp_web_mercator",
-    f"""WITH {EV}, dst AS (SELECT r, c, degrees((20000 + (c + 0.5::DOUBLE) * 15000) / 6378137) AS x, degrees(2 * atan(exp((-20000 - (r + 0.5::DOUBLE) * 15000) / 6378137)) - pi() / 2) AS y
-    FROM (SELECT unnest(generate_series(0, 9)) AS r), (SELECT unnest(generate_series(0, 59)) AS c)) SELECT dst.r, dst.c, v FROM dst JOIN ev ON ev.r = floor(-y / 0.1::DOUBLE)::BIGINT AND ev.c = floor(x / 0.1::DOUBLE)::BIGINT""",
+    f"""WITH {EV}, {DIM}, size AS (SELECT 60.0::DOUBLE / h AS res, 170000.0::DOUBLE * (60.0::DOUBLE / h) AS cell FROM dim),
+    cells AS (SELECT r, unnest(generate_series(0, 64)) AS c, res, cell FROM (SELECT unnest(generate_series(0, floor(8300000 / cell)::BIGINT - 1)) AS r, res, cell FROM size)),
+    dst AS (SELECT r, c, res, degrees((100 + (c + 0.5::DOUBLE) * cell) / 6378137) AS x, degrees(2 * atan(exp((-100 - (r + 0.5::DOUBLE) * cell) / 6378137)) - pi() / 2) AS y FROM cells)
+    SELECT dst.r, dst.c, v FROM dst JOIN ev ON ev.r = floor(-y / res)::BIGINT AND ev.c = floor(x / res)::BIGINT""",
 )
 def _(spark, d):
-    g = PixelGrid.of(0.0, 0.0, 100, ev_grid(spark, d).nrows, 0.1, crs="EPSG:4326")
-    return align.resample(ev(spark, d), g, PixelGrid.of(20000.0, -20000.0, 60, 10, 15000.0, crs="EPSG:3857"))
+    rows = ev_grid(spark, d).nrows  # 60 degrees of latitude, whatever the table's size; the target covers them
+    cell = 170000.0 * (60.0 / rows)
+    target = PixelGrid.of(100.0, -100.0, 65, int(8300000 // cell), cell, crs="EPSG:3857")
+    return align.resample(ev(spark, d), PixelGrid.of(0.0, 0.0, 100, rows, 60.0 / rows, crs="EPSG:4326"), target)
 
 
 @query("project_points", "SELECT event_id, round(radians(user_id % 360 - 180) * 6378137, 3) AS x, round(ln(tan(pi() / 4 + radians(value % 80) / 2)) * 6378137, 3) AS y FROM events")

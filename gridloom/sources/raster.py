@@ -65,7 +65,9 @@ def write_job(job: Result, path: str, controls: Controls) -> dict[str, str]:
     a warning.
     """
     paths = {}
-    for k, px in job.outputs.items():
+    for done_so_far, (k, px) in enumerate(job.outputs.items()):
+        if tell := controls.get("progress"):
+            tell(100 * done_so_far // len(job.outputs), k)
         if name := controls.get("job_name"):
             px.sparkSession.sparkContext.setJobDescription(f"{name}: {k}")
         at = paths[k] = f"{path}/{k}"
@@ -86,6 +88,8 @@ def write_job(job: Result, path: str, controls: Controls) -> dict[str, str]:
             if bad.has_nan or bad.has_inf:
                 warnings.warn(f"{k} holds NaN or infinite values", stacklevel=2)
         px.sparkSession.sparkContext.setJobDescription(None)
+    if job.outputs and (tell := controls.get("progress")):
+        tell(100, None)
     return paths
 
 
