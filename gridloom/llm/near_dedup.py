@@ -303,12 +303,16 @@ def _similar(weights: str, size: int, threshold: float):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class, and one row of each class without ids, with the columns of ``docs``."""
-    kept = written(_grouped(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("_gl_id"), F.col("whole").alias("_gl_whole")), "near-kept")
+    """The rows of ``docs`` with the smallest id of their class, and one row of each class without ids, with the columns of ``docs``.
+
+    The ids that go are taken out of ``docs``: they are fewer than those that stay, so the side that is joined is small.
+    """
+    decided = written(_grouped(docs, id_col, text_col, **how).select(F.col("doc_id").alias("_gl_id"), "kept", F.col("whole").alias("_gl_whole")), "near-kept")
+    goes = decided.where("_gl_id IS NOT NULL").groupBy("_gl_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("_gl_id")
     own = F.col(f"`{id_col}`").cast("long")
-    named = docs.join(kept.where("_gl_id IS NOT NULL").select("_gl_id").distinct(), own == F.col("_gl_id"), "left_semi")
+    named = docs.where(own.isNotNull()).join(written(goes, "near-dropped"), own == F.col("_gl_id"), "left_anti")
     rest = _sequenced(docs.where(own.isNull()), text_col, "_gl_whole").dropDuplicates(["_gl_whole"])
-    rest = rest.join(kept.where("_gl_id IS NULL").select("_gl_whole"), "_gl_whole", "left_semi")
+    rest = rest.join(decided.where("_gl_id IS NULL AND kept").select("_gl_whole"), "_gl_whole", "left_semi")
     return named.unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
