@@ -7,8 +7,9 @@ sum(r * tokens * p) and the targets, by projected gradient descent from r = 1 in
 
     r <- max(0, r + p . M^-1 (target - sum(r tokens p))),   M = sum(tokens p p')
 
-for which a step of one is safe. A round is one aggregation to a handful of sums, whatever the number of rows;
-rates are a function of p and the rounds' small vectors, so no table grows with the rounds. ``copies`` rounds a
+for which a step of one is safe. p follows from the bins, so tokens are summed by them first and a round is one
+aggregation over the sets of bins that occur, whatever the number of documents; rates are a function of p and the rounds'
+small vectors, so no table grows with the rounds. ``copies`` rounds a
 rate by the hashed id: floor or ceiling, right in expectation.
 
 Bounds: ``most_sample`` labelled documents and ``most_words`` words of lexicon; everything else covers all rows.
@@ -125,8 +126,9 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: f
     feats = written(features(docs, lexicon, id_col, text_col, carried), "mix-features")
     model = classifier(feats, domains, names, lexicon)
     p = model.posterior(F.col("bins"))
-    posteriors = [p[k].alias(f"p_{k}") for k in names]
-    soft = written(feats.select("doc_id", "tokens", *posteriors), "mix-posteriors")
+    # posteriors follow from the bins alone: the rounds run on one row for each set of bins, not on documents
+    alike = feats.groupBy("bins").agg(F.sum("tokens").alias("tokens"))
+    soft = written(alike.select("tokens", *[p[k].alias(f"p_{k}") for k in names]), "mix-posteriors")
     w = F.col("tokens").cast("double")
     cols = [F.col(f"p_{k}") for k in names]
     moments = soft.agg(*[F.coalesce(F.sum(w * a), F.lit(0.0)) for a in cols], *[F.coalesce(F.sum(w * a * b), F.lit(0.0)) for a in cols for b in cols]).first()
@@ -151,8 +153,8 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], total: f
         before, have = have, np.array(soft.agg(*[F.coalesce(F.sum(w * a * rate), F.lit(0.0)) for a in cols]).first())
         if np.abs(have - before).max() <= tolerance * max(1.0, target.sum()):
             break
-    # what is carried stays where it was written: no join brings rates to it
-    out = feats.select("doc_id", "tokens", *posteriors, *[f"_gl_{k}" for k in range(len(carried))]) if carried else soft
+    # posteriors as one array, which the optimizer doesn't put into every use of them; no join brings rates to documents
+    out = feats.withColumn("_gl_p", F.array(*[p[x] for x in names])).withColumns({f"p_{x}": F.get("_gl_p", i) for i, x in enumerate(names)}).drop("bins", "_gl_p")
     out = out.withColumn("rate", rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
