@@ -51,15 +51,15 @@ WORD = ~SPACE
 def symbols(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Codes of (preceding ``depth`` bytes, byte), text after text with its end, and where each text begins."""
     n = len(offsets) - 1
-    size = np.diff(offsets)
-    row = np.repeat(np.arange(n), size)
-    padded = np.zeros(len(data) + n * (depth + 1), np.uint8)
-    padded[np.arange(len(data)) + row * (depth + 1) + depth] = LOWER[data]
-    wide = padded.astype(np.int64)
-    code = np.zeros(max(0, len(wide) - depth), np.int64)
-    for j in range(depth + 1):
-        code = (code << 8) | wide[j : j + len(code)]
     begin = offsets[:-1] + np.arange(n) * (depth + 1)  # of each text's first symbol among the codes
+    inside = np.ones(len(data) + n * (depth + 1), bool)
+    inside[(begin[:, None] + np.arange(depth)).ravel()] = False
+    inside[offsets[1:] + np.arange(n) * (depth + 1) + depth] = False
+    padded = np.zeros(7 - depth + len(inside), np.uint8)
+    padded[7 - depth :][inside] = LOWER[data]
+    # the eight bytes that end with the symbol, as one number, less those before its context
+    wide = np.ndarray(max(0, len(inside) - depth), ">u8", padded, 0, (1,))
+    code = (wide & np.uint64((1 << 8 * (depth + 1)) - 1)).astype(np.int64)
     keep = np.ones(len(code), bool)
     for j in range(depth):  # codes that end in the next text's padding
         at = begin[1:] - 1 - j
@@ -76,21 +76,36 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
+#: Log gamma of k + 1/2 and of k + 1, for the counts that most nodes have.
+_HALVES, _WHOLES = (_log_gamma(np.arange(1 << 12) + x) for x in (0.5, 1.0))
+
+
+def _looked_up(n: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(table))
+    out[large] = _log_gamma(n[large] + shift)
+    return out
+
+
 def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block probability; a part of the nodes at a time."""
     out = np.empty(len(n0))
     for a in range(0, len(n0), 1 << 17):
         x, y = n0[a : a + (1 << 17)], n1[a : a + (1 << 17)]
-        out[a : a + (1 << 17)] = _log_gamma(x + 0.5) + _log_gamma(y + 0.5) - 2 * 0.5723649429247001 - _log_gamma(x + y + 1.0)
+        out[a : a + (1 << 17)] = _looked_up(x, _HALVES, 0.5) + _looked_up(y, _HALVES, 0.5) - 2 * 0.5723649429247001 - _looked_up(x + y, _WHOLES, 1.0)
     return out
 
 
-def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted node keys of one depth, and what each saw: zeros and ones. Codes are sorted, so a node's lie together."""
-    keys, zeros, ones = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Sorted node keys of one depth and what each saw, zeros and ones; and [bit, code] the node of each bit of each code. Codes are sorted, so a node's lie together."""
+    keys, zeros, ones, size = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], 0
+    at = np.zeros((8, len(code)), np.int64)
     for b in range(8 if len(code) else 0):
         part = code >> (8 - b)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        new = np.concatenate([[True], part[1:] != part[:-1]])
+        first = np.flatnonzero(new)
+        at[b] = np.cumsum(new) + (size - 1)
+        size += len(first)
         bit = (code >> (7 - b)) & 1
         every, n1 = np.add.reduceat(n, first), np.add.reduceat(n * bit, first)
         start = code[first]
@@ -99,27 +114,25 @@ def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         ones.append(n1.astype(float))
     key = np.concatenate(keys)
     order = np.argsort(key)
-    return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-
-
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, sorted, and each value summed by them."""
-    u, inverse = np.unique(keys, return_inverse=True)
-    return (u, *(np.bincount(inverse, weights=v, minlength=len(u)).astype(float) for v in values))  # of nothing it counts in ints
+    place = np.empty(size, np.int64)
+    place[order] = np.arange(size)
+    return (key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]), place[at] if size else at
 
 
 class Tree:
-    """Depths ``root`` to ``depth`` of the tree: sorted node keys (context bytes, bit prefix), the estimate of a 1, and the weight of stopping there.
+    """Depths ``root`` to ``depth`` of the tree: sorted node keys (context bytes, bit prefix), and for each node its ``path`` from the root.
 
-    It is made from its deepest nodes; ``children`` are the summed log weights of the nodes below those, if any.
+    A path is what the depths passed give a 1, the weight that is left for deeper ones, and the last estimate of a 1. The tree is made
+    from its deepest nodes; ``children`` are the summed log weights of the nodes below those, if any. A node that training did not see
+    weighs nothing and has the path of the node above it.
     ``up`` holds what the nodes above the root need: their keys, zeros, ones and the log weights of their children.
     """
 
     def __init__(self, nodes: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int, root: int = 0, children: np.ndarray | None = None):
         self.root, self.depth = root, depth
         self.keys: dict[int, np.ndarray] = {}
-        self.one: dict[int, np.ndarray] = {}
-        self.stop: dict[int, np.ndarray] = {}
+        self.path: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        own_part: dict[int, tuple[np.ndarray, ...]] = {}
         keys, n0, n1 = nodes
         for d in range(depth, root - 1, -1):
             weighted = own = _kt(n0, n1)
@@ -127,37 +140,64 @@ class Tree:
             if children is not None:
                 weighted = np.logaddexp(own, children) + np.log(0.5)
                 stop = np.exp(np.log(0.5) + own - weighted)
-            self.keys[d], self.stop[d], self.one[d] = keys, stop.astype(np.float32), ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
-            keys, n0, n1, children = _sums(keys & ((1 << 8 * d) - 1), n0, n1, weighted)
-        self.up = (keys, n0, n1, children)
+            above, number = np.unique(keys & ((1 << 8 * d) - 1), return_inverse=True)
+            self.keys[d], own_part[d] = keys, (number, n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1), stop)
+            # the float type is for sums of nothing, which are ints
+            n0, n1, children = (np.bincount(number, weights=v, minlength=len(above)).astype(float) for v in (n0, n1, weighted))
+            keys = above
+        seen = n0 + n1 > 0
+        self.up = (keys[seen], n0[seen], n1[seen], children[seen])
+        for d in range(root, depth + 1):
+            number, seen, one, stop = own_part.pop(d)
+            passed, left, last = (x[number] for x in self.path[d - 1]) if d > root else (np.zeros(len(number)), np.ones(len(number)), np.full(len(number), np.nan))
+            here = np.where(seen, left * stop, 0)
+            self.path[d] = passed + here * one, np.where(seen, left * (1 - stop), left), np.where(seen, one, last)
+
+    @property
+    def one(self) -> dict[int, np.ndarray]:
+        """The last estimate of a 1 at each node."""
+        return {d: last for d, (_, _, last) in self.path.items()}
 
     @classmethod
     def of(cls, code: np.ndarray, n: np.ndarray, depth: int, root: int = 0) -> Tree:
-        """From sorted codes of (``depth`` context bytes, byte) and how often training saw each."""
-        return cls(_nodes(code[n > 0], n[n > 0]), depth, root)
+        """From sorted codes of (``depth`` context bytes, byte) and how often training saw each; 0 for those that are only asked for."""
+        return cls(_nodes(code[n > 0], n[n > 0])[0], depth, root)
+
+    @classmethod
+    def asked(cls, code: np.ndarray, n: np.ndarray, depth: int, root: int = 0) -> tuple[Tree, np.ndarray]:
+        """As ``of``, with ``bits`` of the same codes: these know their nodes, so none is searched for."""
+        nodes, at = _nodes(code, n)
+        tree = cls(nodes, depth, root)
+        passed, left, last = tree.path[depth]
+        p = passed + left * last
+        out = np.empty((len(code), 8))
+        for b in range(8):
+            one = p[at[b]]
+            out[:, b] = np.where((code >> (7 - b)) & 1, one, 1 - one)
+        return tree, out
 
     def bits(self, code: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
         """Probabilities of the eight bits of each code's byte; NaN where the root has no node. ``below``: those of the depths below this tree's."""
         context, byte = code >> 8, code & 255
         out = np.empty((len(code), 8))
         for b in range(8):
-            prefix, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-            p, left, go = np.zeros(len(code)), np.ones(len(code)), np.ones(len(code), bool)
-            last = np.full(len(code), np.nan)
-            for d in range(self.root, self.depth + 1):
-                key, keys = ((context & ((1 << 8 * d) - 1)) << 8) | prefix, self.keys[d]
+            prefix, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1 == 1
+            passed, left, last = np.zeros(len(code)), np.ones(len(code)), np.full(len(code), np.nan)
+            todo = np.arange(len(code))
+            for d in range(self.depth, self.root - 1, -1):  # the deepest node has all of its path
+                keys = self.keys[d]
                 if not len(keys):
-                    break
+                    continue
+                key = ((context[todo] & ((1 << 8 * d) - 1)) << 8) | prefix[todo]
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                go = go & (keys[at] == key)
-                one, stop = self.one[d][at].astype(float), self.stop[d][at].astype(float)
-                here = np.where(bit == 1, one, 1 - one)
-                p += np.where(go, left * stop * here, 0)
-                left = np.where(go, left * (1 - stop), left)
-                last = np.where(go, here, last)
+                there = keys[at] == key
+                hit, at = todo[there], at[there]
+                passed[hit], left[hit], last[hit] = (x[at] for x in self.path[d])
+                todo = todo[~there]
+            last = np.where(bit, last, 1 - last)
             if below is not None:
                 last = np.where(np.isnan(below[:, b]), last, below[:, b])
-            out[:, b] = p + left * last
+            out[:, b] = np.where(bit, passed, 1 - left - passed) + left * last
         return out
 
     def log10(self, code: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
@@ -167,9 +207,14 @@ class Tree:
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, and each count summed by them."""
     k, *values = (np.concatenate(x) for x in zip(*parts))
-    u, *sums = _sums(k, *values)
-    return (u, *(x.astype(np.int64) for x in sums))
+    if not len(k):
+        return (k, *values)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return (k[first], *(np.add.reduceat(x[order], first) for x in values))
 
 
 def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -220,8 +265,7 @@ def _top(df: DataFrame, most: int, count: str, value: str) -> tuple[np.ndarray,
         left -= r.k
     t = df.where(level > least).select("key", value).toArrow()
     k, v = (np.asarray(t.column(c).combine_chunks()) for c in ("key", value))
-    order = np.argsort(k)
-    return k[order], v[order]
+    return k, v
 
 
 def fitted(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -237,12 +281,13 @@ def fitted(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             code, n, m = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(code)
             code, n, m = code[order], n[order], m[order]
-            tree = Tree.of(code, n, depth, root)
+            tree, every = Tree.asked(code, n, depth, root)
             up, size = tree.up, len(tree.up[0])
+            del tree
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, bool)), pa.array(up[0]), pa.nulls(size, pa.int64()), *map(pa.array, up[1:]), pa.nulls(size, kinds[6])], names=names)
             for a in range(0, len(code), 50_000):
                 part = code[a : a + 50_000]
-                flat = pa.array(tree.bits(part).astype(np.float32).ravel())
+                flat = pa.array(every[a : a + 50_000].astype(np.float32).ravel())
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(part) + 1, 8, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), bool)), pa.array(part), pa.array(m[a : a + 50_000]), *(pa.nulls(len(part), k) for k in kinds[3:6]), bits], names=names)
 
@@ -282,12 +327,13 @@ def fitted(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Known:
-    """Values by code; a table of slots answers most look-ups at once."""
+    """Values by code, in order of a hash; an edge for each slot of hashes says where its codes lie."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
-        self.slots = np.zeros(SLOTS, np.int32)
-        self.slots[self._slot(keys)] = np.arange(len(keys))
+        slot = self._slot(keys)
+        order = np.argsort(slot)
+        self.keys, self.values = keys[order], values[order]
+        self.edge = np.searchsorted(slot[order], np.arange(SLOTS + 1)).astype(np.int32)
 
     @staticmethod
     def _slot(code: np.ndarray) -> np.ndarray:
@@ -295,21 +341,31 @@ class Known:
 
     def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places among the keys, and which are really there."""
-        if not len(self.keys):
-            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
-        at = self.slots[self._slot(code)]
-        there = self.keys[at] == code
-        miss = np.flatnonzero(~there)
-        if len(miss):
-            at[miss] = np.minimum(np.searchsorted(self.keys, code[miss]), len(self.keys) - 1)
-            there[miss] = self.keys[at[miss]] == code[miss]
+        slot = self._slot(code)
+        at, end = self.edge[slot], self.edge[slot + 1]
+        there = np.zeros(len(code), bool)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            ok = self.keys[at[todo]] == code[todo]
+            there[todo[ok]] = True
+            todo = todo[~ok]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
         return at, there
 
 
-def _lists(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
-    """Per row its distinct keys and how often it has each."""
-    order = np.lexsort((keys, rows))
-    keys, rows = keys[order], rows[order]
+def _lists(keys: np.ndarray, rows: np.ndarray, n: int, width: int | None = None) -> tuple[pa.Array, pa.Array]:
+    """Per row its distinct keys and how often it has each. Rows ascend. Keys of ``width`` bits are sorted together with their rows, as one number."""
+    if width is None:
+        order = np.lexsort((keys, rows))
+        keys, rows = keys[order], rows[order]
+    else:
+        step = 1 << (63 - width)
+        edges = np.unique(np.searchsorted(rows, np.arange(0, n + step, step)))
+        both = ((rows % step) << width) | keys
+        for a, b in zip(edges[:-1], edges[1:]):
+            both[a:b].sort()
+        keys, rows = both & ((1 << width) - 1), rows // step * step + (both >> width)
     new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
     edge = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows[new], minlength=n))]).astype(np.int32))
     times = np.diff(np.append(new, len(keys)))
@@ -331,8 +387,7 @@ def scores(
     values = fitted(counts, depth)
     keys, often = _top(tokens, frequent, "n", "n")
     keys = keys.view(np.uint64) if len(keys) else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((Known(keys[order], often[order]), Known(*_top(values, frequent_codes, "m", "value"))))
+    shared = docs.sparkSession.sparkContext.broadcast((Known(keys, often), Known(*_top(values, frequent_codes, "m", "value"))))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +402,7 @@ def scores(
                 value[hit] = known_codes.values[at[hit]]
                 total = np.add.reduceat(value, begin)
                 miss = np.flatnonzero(~hit)
-                codes, code_times = _lists(code[miss], np.searchsorted(begin, miss, "right") - 1, n)
+                codes, code_times = _lists(code[miss], np.searchsorted(begin, miss, "right") - 1, n, 8 * (depth + 1))
                 del code, at, hit, value, miss  # before the arrays of the words
                 h, _, _, rows = words(data, offsets, WORD)
                 h, rows = np.append(h, np.full(n, END)), np.append(rows, np.arange(n))
