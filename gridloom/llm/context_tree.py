@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .textvec import LOWER, SPACE, slices, utf8, words
 from .work import crc_mod, table, written
 
-DEPTH = 5
+DEPTH = 6
 ROOT = 3
 CHUNK = 200_000
 FREQUENT = 1 << 18

@@ -489,6 +489,27 @@ def test_context_tree_weighs_as_defined():
     assert abs(tree.one[0][k] - 0.5 / 6) < 1e-6
 
 
+def test_context_tree_keeps_rare_bits_of_frequent_contexts():
+    """A bit that a context showed a billion times leaves the other a probability above zero; codes only asked for learn nothing."""
+    code, n = np.array([98, 99, 120], np.int64), np.array([10**9, 0, 0], np.int64)
+    tree, bits = context_tree.Tree.asked(code, n, 0)
+    assert (bits[~np.isnan(bits)] > 0).all() and not np.isnan(bits[0]).any()
+    assert np.allclose(bits, tree.bits(code), rtol=1e-6, atol=0, equal_nan=True)
+    assert abs(bits[1, 7] * (2 * (10**9 + 1)) - 1) < 1e-6  # 1 after 0110001: the node saw 0 only
+    assert np.allclose(np.log10(np.where(np.isnan(bits), 0.5, bits)).sum(1), context_tree.Tree.of(code, n, 0).log10(code))
+
+
+def test_context_tree_lists_and_known_codes():
+    rng = np.random.default_rng(1)
+    keys, rows = rng.integers(0, 1 << 56, 4000) >> rng.integers(0, 56, 4000), np.sort(rng.integers(0, 700, 4000))
+    for a, b in zip(context_tree._lists(keys, rows, 700), context_tree._lists(keys, rows, 700, 56)):
+        assert a.equals(b)
+    held = np.unique(keys[:2000])
+    at, there = context_tree.Known(held, held * 3).find(keys)
+    assert (there == np.isin(keys, held)).all()
+    assert (context_tree.Known(held, held * 3).values[at[there]] == keys[there] * 3).all()
+
+
 def test_context_tree_in_parts_is_the_whole_tree(spark):
     """Subtrees in tasks, with most codes and words joined instead of broadcast, against one tree in memory."""
     from pyspark.sql import functions as F
@@ -498,7 +519,7 @@ def test_context_tree_in_parts_is_the_whole_tree(spark):
     df = all_docs(spark)
     learns = F.col("doc_id") % 3 != 1
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    for depth in (1, 3, 5):
+    for depth in (1, 3, 5, 6):
         codes = {i: context_tree.symbols(*utf8(pa.array([t])), depth)[0] for i, t in rows}
         tree = context_tree.Tree.of(*np.unique(np.concatenate([codes[i] for i, _ in rows if i % 3 != 1]), return_counts=True), depth)
         got = {r.doc_id: r for r in context_tree.scores(df, learns, depth=depth, frequent=100, frequent_codes=3000).collect()}
@@ -506,6 +527,7 @@ def test_context_tree_in_parts_is_the_whole_tree(spark):
         for i, _ in rows[:40]:
             want = tree.log10(codes[i]).sum()
             assert abs(got[i].score - want) < 1e-5 * abs(want)
+    assert depth == context_tree.DEPTH
     every = {r.doc_id: r for r in context_tree.scores(df, learns).collect()}
     for i, r in got.items():
         assert r.n_known == every[i].n_known and abs(r.base_score - every[i].base_score) < 1e-6 and abs(r.score - every[i].score) < 1e-6 * abs(r.score)
