@@ -68,6 +68,78 @@ def test_geojson_polygons(spark, tmp_path, lines):
     assert vector.read_geojson(spark, str(tmp_path / "x.json"), lines=lines).columns == ["fid", "part", "ring"]
 
 
+def point_file(path, features, kind):
+    body = b""
+    for k, points in enumerate(features, 1):
+        xy = b"".join(struct.pack("<2d", *p) for p in points)
+        one = struct.pack("<i", kind) + (xy if kind == 1 else struct.pack("<4di", 0, 0, 0, 0, len(points)) + xy)
+        body += struct.pack(">2i", k, len(one) // 2) + one
+    (path / "x.shp").write_bytes(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, kind, *[0] * 8) + body)
+
+
+def walked(x1, y1, x2, y2):
+    """Pixels (y, x) of the thin path, one step at a time."""
+    x, y, dx, dy, out, error = x1, y1, abs(x2 - x1), abs(y2 - y1), set(), 0
+    long, short = max(dx, dy), min(dx, dy)
+    error = -long
+    for _ in range(long + 1):
+        out.add((y, x))
+        error += 2 * short
+        aside = error > 0
+        error -= 2 * long * aside
+        x += np.sign(x2 - x1) if dx >= dy or aside else 0
+        y += np.sign(y2 - y1) if dy > dx or aside else 0
+    return out
+
+
+@pytest.mark.parametrize("ends", [(1, 1, 10, 4), (10, 1, 1, 8), (2, 11, 3, 0), (5, 5, 5, 5), (-7, 3, 20, 8), (4, 30, 4, -30), (0, 0, 11, 11), (20, 20, 30, 30)])
+def test_lines_are_thin_paths(spark, ends):
+    x1, y1, x2, y2 = ends
+    layer = spark.createDataFrame([(0, 0, [(x1 + 0.5, y1 + 0.5), (x2 + 0.5, y2 + 0.5)], "line")], "fid long, part int, ring array<struct<x:double,y:double>>, shape string")
+    # rows run down, so the path is walked with y upside down
+    want = {(11 - y, x) for y, x in {(11 - a, b) for a, b in walked(x1, 11 - y1, x2, 11 - y2)} if 0 <= y < 12 and 0 <= x < 12}
+    assert {(11 - r, c) for r, c in zip(*np.nonzero(burnt(spark, layer)))} == want
+
+
+def test_points_and_lines_of_files(spark, tmp_path):
+    every = ("polygon", "line", "point")
+    features = [
+        {"properties": {"code": 4}, "geometry": {"type": "LineString", "coordinates": [[0.5, 0.5], [3.5, 0.5], [3.5, 2.5]]}},
+        {"properties": {"code": 5}, "geometry": {"type": "MultiLineString", "coordinates": [[[6.2, 6.2], [6.8, 6.8]], [[9.5, 0.5]]]}},
+        {"properties": {"code": 6}, "geometry": {"type": "Point", "coordinates": [11.5, 11.5, 3]}},
+        {"properties": {"code": 7}, "geometry": {"type": "MultiPoint", "coordinates": [[0.5, 11.5], [1.5, 10.5], [40, 40]]}},
+        {"properties": {"code": 9}, "geometry": {"type": "Polygon", "coordinates": [FAR]}},
+        {"properties": {"code": 2}, "geometry": None},
+    ]
+    (tmp_path / "x.json").write_text(json.dumps({"features": features}))
+    layer = vector.read_geojson(spark, str(tmp_path / "x.json"), "code int", shapes=every)
+    want = np.zeros((12, 12), int)
+    want[0, 0:4], want[0:3, 3], want[6, 6], want[11, 11], want[11, 0], want[10, 1], want[8:10, 8:10] = 4, 4, 5, 6, 7, 7, 9
+    assert layer.columns == ["fid", "part", "ring", "shape", "code"] and (burnt(spark, layer, "code") == want).all()
+
+    path = shapefile(tmp_path, [[[(0.5, 0.5), (3.5, 0.5)], [(5.5, 5.5), (5.5, 7.5)]]], [("CODE", "N", 6, 0)], [(4,)], kind=3)
+    want = np.zeros((12, 12), int)
+    want[0, 0:4], want[5:8, 5] = 4, 4
+    assert (burnt(spark, vector.read_shapefile(spark, path, every), "CODE") == want).all()
+    for kind, points in ((1, [[(2.5, 3.5)]]), (8, [[(2.5, 3.5), (4.5, 3.5)]])):
+        point_file(tmp_path, points, kind)
+        want = np.zeros((12, 12), int)
+        for x, y in points[0]:
+            want[int(y), int(x)] = 4
+        assert (burnt(spark, vector.read_shapefile(spark, path, every), "CODE") == want).all()
+    with pytest.raises(FileOpen):
+        vector.read_shapefile(spark, path)
+
+
+def test_all_touched_lines_take_every_crossed_pixel(spark):
+    layer = spark.createDataFrame([(0, 0, [(0.2, 0.7), (1.8, 1.3)], "line")], "fid long, part int, ring array<struct<x:double,y:double>>, shape string")
+    g = PixelGrid.of(0, 2, 2, 2, 1.0)
+    cells = lambda touched: {(x.r, x.c) for x in rasterize(edges_of(layer), g, all_touched=touched).where("v = 1").collect()}
+    assert cells(False) == {(1, 0), (0, 1)}
+    # the side passes through the corner that the four pixels share
+    assert cells(True) >= {(1, 0), (0, 1)}
+
+
 def test_progress_and_temporary_folder(spark, tmp_path):
     px = spark.range(100).select(F.floor(F.col("id") / 10).alias("r"), (F.col("id") % 10).alias("c"), F.col("id").alias("v"))
     told = []
