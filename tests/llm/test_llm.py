@@ -410,6 +410,23 @@ def test_samples_skip_what_does_not_fit():
     assert fitting([], 100) == []
 
 
+def test_samples_start_no_python_on_executors(spark, monkeypatch):
+    """Python workers of the sample stayed beside those that score; ids under two labels count under the first."""
+    from gridloom.llm.sampling import labelled_sample
+
+    d = spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'bb'), (2, 'b'), (3, NULL), (4, 'd') AS t(doc_id, text)")
+    labels = spark.sql("SELECT * FROM VALUES ('1', 0), ('2', 1), ('2', 0), ('3', 1), ('5', 1) AS t(id, y)")
+    langs = labels.select("id", F.when(F.col("y") == 0, "en").otherwise("fr").alias("y"))
+
+    def none(*_):
+        raise AssertionError("rows went through Python")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", none)
+    assert labelled_sample(d, labels, 10, 1000) == (["a", "b", "bb", ""], [0, 0, 0, 1])
+    assert labelled_sample(d, langs, 10, 1000) == (["a", "b", "bb", ""], ["en", "en", "en", "fr"])
+    assert labelled_sample(d, labels.limit(0), 10, 1000) == ([], [])
+
+
 def test_toxicity_gradients():
     import pyarrow as pa
 
