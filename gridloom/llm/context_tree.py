@@ -6,8 +6,9 @@ byte is eight binary decisions; a decision's context is the bits before it in th
 its children, so a prediction mixes the estimates of all depths by their posterior weights; the path ends at the
 last node that training saw. The code length of a text is minus its log2 probability.
 
-Nothing of the model is capped and no machine holds it whole. (context, byte) counts of all documents are gathered
-by map-side and shuffled aggregation, so they grow with the corpus. Contexts that share their last ``ROOT`` bytes
+Nothing of the model is capped and no machine holds it whole. (context, byte) counts of all documents are summed
+in each task, dealt out by parts of their hashes in blocks, and summed part by part, so they grow with the corpus and no
+row is made of each before they are whole. Contexts that share their last ``ROOT`` bytes
 form a subtree; a task weighs whole subtrees and gives, for every (context, byte) that any text asks for, the
 probability below the root. What leaves a subtree upwards are sums per node of depth ``ROOT`` - 1: at most 255 for
 each of 65536 pairs of bytes, in texts far fewer. From these the driver weighs the top of the tree, which is broadcast
@@ -44,6 +45,8 @@ FREQUENT_CODES = 1 << 20
 SLOTS = 1 << 21
 SLICE = 1 << 20
 HELD = 1_000_000
+#: Parts of the hashes of words, and of those of codes, as a power of two.
+PARTS = 11
 END = np.uint64(0x5EED)
 WORD = ~SPACE
 
@@ -217,15 +220,36 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return (k[first], *(np.add.reduceat(x[order], first) for x in values))
 
 
+def _blocks(what: int, k: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """Counts as a row for each part: its number, the bytes that a count takes, and of its keys, ``m`` and ``m - n`` first all lowest bytes, then the next."""
+    part = ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARTS)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    width = max(1, (int(m.max(initial=0)).bit_length() + 7) // 8)
+    planes = [np.ascontiguousarray(x[order], "<i8").view(np.uint8).reshape(-1, 8)[:, :w].T for x, w in ((k, 8), (m, width), (m - n, width))]
+    planes = np.concatenate(planes)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    rows = [planes[:, a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(part)))]
+    number = part[first].astype(np.int32) + (what << PARTS)
+    return pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.full(len(first), width, np.int32)), pa.array(rows, pa.binary())], names=["part", "width", "block"])
+
+
+def _unpacked(blocks: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+    """Keys, n and m of blocks, given with their widths."""
+    out, at = np.zeros((3, sum(len(b) // (8 + 2 * w) for w, b in blocks), 8), np.uint8), 0
+    for w, b in blocks:
+        x = np.frombuffer(b, np.uint8).reshape(8 + 2 * w, -1)
+        end = at + x.shape[1]
+        out[0, at:end], out[1, at:end, :w], out[2, at:end, :w] = x[:8].T, x[8 : 8 + w].T, x[8 + w :].T
+        at = end
+    k, m, less = out.view("<i8")[..., 0]
+    return k, m - less, m
+
+
 def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``docs``: text, learns. Written counts: what (0 word, 1 context with byte), key, n (in texts that are learned from), m (in all)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(what: int, k: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(k), 100_000):
-                part = [x[a : a + 100_000] for x in (k.astype(np.int64), n, m)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), what, np.int32)), *map(pa.array, part)], names=["what", "key", "n", "m"])
-
         held: list[list] = [[], []]
         for batch in batches:
             for b in slices(batch, "text", SLICE):
@@ -234,7 +258,7 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 h, _, _, rows = words(data, offsets, WORD)
                 h, rows = np.append(h, np.full(len(learns), END)), np.append(rows, np.arange(len(learns)))
                 u, n = np.unique(h[learns[rows]], return_counts=True)
-                held[0].append((u, n, n))
+                held[0].append((u.view(np.int64), n, n))
                 code, begin = symbols(data, offsets, depth)
                 seen = learns[np.repeat(np.arange(len(learns)), np.diff(np.append(begin, len(code))))]
                 for part, times in ((code[seen], 1), (code[~seen], 0)):
@@ -245,13 +269,43 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     if sum(len(x[0]) for x in held[what]) > HELD:
                         held[what] = [_merged(held[what])]
                         if len(held[what][0][0]) > HELD // 2:
-                            yield from out(what, *held[what].pop())
+                            yield _blocks(what, *held[what].pop())
         for what in (0, 1):
             if held[what]:
-                yield from out(what, *_merged(held[what]))
+                yield _blocks(what, *_merged(held[what]))
 
-    rows = docs.select("text", "learns").mapInArrow(count, "what int, key long, n long, m long")
-    return written(rows.groupBy("what", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-counts")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come sorted by part; whole parts are summed, about ``CHUNK`` counts at a time."""
+        held: list[tuple[np.ndarray, ...]] = []
+        blocks: list[tuple[int, bytes]] = []
+        size, last = 0, -1
+
+        def done() -> Iterator[pa.RecordBatch]:
+            k, n, m = _merged([*held, _unpacked(blocks)])
+            for a in range(0, len(k), 100_000):
+                part = [x[a : a + 100_000] for x in (k, n, m)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), last >> PARTS, np.int32)), *map(pa.array, part)], names=["what", "key", "n", "m"])
+            held.clear()
+            blocks.clear()
+
+        for batch in batches:
+            for part, width, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if part != last and (size >= CHUNK or part >> PARTS != last >> PARTS):
+                    if held or blocks:
+                        yield from done()
+                    size = 0
+                elif size >= HELD:  # one part has many blocks: they are summed as they come
+                    held[:] = [_merged([*held, _unpacked(blocks)])]
+                    blocks.clear()
+                    size = CHUNK
+                blocks.append((width, block.as_buffer()))
+                size += len(blocks[-1][1]) // (8 + 2 * width)
+                last = part
+        if held or blocks:
+            yield from done()
+
+    rows = docs.select("text", "learns").mapInArrow(count, "part int, width int, block binary")
+    return written(rows.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "what int, key long, n long, m long"), "lm-counts")
 
 
 def _top(df: DataFrame, most: int, count: str, value: str) -> tuple[np.ndarray, np.ndarray]:

@@ -481,6 +481,33 @@ def test_context_tree_base_and_score(spark):
     assert got[len(texts) - 1].bits_per_byte < 3
 
 
+def test_context_tree_counts_in_blocks(spark, monkeypatch):
+    """Counts travel as blocks of parts, not as rows, and are those of all texts; small bounds make many blocks of a part and sums between."""
+    k = np.array([-(1 << 63), -5, 0, 7, (1 << 56) - 1, 1 << 62], np.int64)
+    n, m = np.array([0, 1, 255, 256, 3, 1 << 40], np.int64), np.array([9, 1, 255, 300, 3, 1 << 41], np.int64)
+    b = context_tree._blocks(1, k, n, m)
+    got = context_tree._unpacked([(w, x.as_buffer()) for w, x in zip(b.column(1).to_pylist(), b.column(2))])
+    assert sorted(zip(*got)) == sorted(zip(k, n, m)) and all(p >> context_tree.PARTS == 1 for p in b.column(0).to_pylist())
+    assert context_tree._blocks(0, k[:0], n[:0], m[:0]).num_rows == 0 and len(context_tree._unpacked([])[0]) == 0
+    texts = [*ODD, *(f"Some words {i} of {i % 7} texts" for i in range(80))] * 2
+    want = {}
+    for i, t in enumerate(texts):
+        data, offsets = context_tree.utf8(pa.array([t], pa.string()))
+        for what, keys in ((0, np.append(context_tree.words(data, offsets, context_tree.WORD)[0], context_tree.END).view(np.int64)), (1, context_tree.symbols(data, offsets)[0])):
+            for key in keys.tolist() if what or i % 3 != 1 else []:
+                x = want.setdefault((what, key), [0, 0])
+                x[0] += i % 3 != 1
+                x[1] += 1
+    df = docs(spark, texts).repartition(5).select("text", (F.col("doc_id") % 3 != 1).alias("learns"))
+    for held, chunk in ((context_tree.HELD, context_tree.CHUNK), (300, 100), (40, 20)):
+        monkeypatch.setattr(context_tree, "HELD", held)
+        monkeypatch.setattr(context_tree, "CHUNK", chunk)
+        monkeypatch.setattr(context_tree, "SLICE", 64)
+        got = [((r.what, r.key), [r.n, r.m]) for r in context_tree.gathered(df).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert context_tree.gathered(df.limit(0)).count() == 0
+
+
 def test_context_tree_without_training_texts(spark):
     from pyspark.sql import functions as F
 
