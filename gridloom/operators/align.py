@@ -87,6 +87,12 @@ KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {
     "cubicspline": (2, _spline),
     "lanczos": (3, _lanczos),
 }
+#: Cells of the target whose sums a task holds, so that its memory doesn't grow with the raster.
+CELLS_A_TASK, MOST_TASKS = 1 << 17, 20_000
+#: Blocks of the target have 64 cells a side, tiles of the source 8 pixels.
+BLOCK_BITS, TILE_BITS = 6, 3
+#: Part of a pixel by which ends of a kernel are rounded outwards; weights decide what is in.
+SLACK = 0.001
 
 
 def resample(px: DataFrame, source: PixelGrid, target: PixelGrid, method: str = "near", nodata: float | None = None, inverse: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
@@ -112,10 +118,50 @@ def resample(px: DataFrame, source: PixelGrid, target: PixelGrid, method: str =
         asked = cells.select("r", "c", F.floor(fr).alias("sr"), F.floor(fc).alias("sc"))
         return asked.join(valid, ["sr", "sc"]).select(*band, "r", "c", "v")
     reach, weight = KERNELS[method]
-    offsets = F.array(*[F.lit(k) for k in range(1 - reach, reach + 1)])
-    asked = cells.select("r", "c", (fr - 0.5).alias("fr"), (fc - 0.5).alias("fc"))
-    asked = asked.withColumn("dr", F.explode(offsets)).withColumn("dc", F.explode(offsets))
-    asked = asked.select("r", "c", (F.floor("fr") + F.col("dr")).alias("sr"), (F.floor("fc") + F.col("dc")).alias("sc"), "fr", "fc")
-    asked = asked.select("r", "c", "sr", "sc", (weight(F.col("fr") - F.col("sr")) * weight(F.col("fc") - F.col("sc"))).alias("w")).where("w <> 0")
-    met = asked.join(valid, ["sr", "sc"]).groupBy(*band, "r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"))
+    fr, fc = fr - 0.5, fc - 0.5
+    if inverse is None:
+        met = _sent(valid, source, target, fr, fc, reach, weight, band)
+    else:
+        met = _fetched(valid, cells.select("r", "c", fr.alias("fr"), fc.alias("fc")), _tasks(target), reach, weight, band)
     return met.where("abs(w) > 1e-12").select(*band, "r", "c", (F.col("s") / F.col("w")).alias("v"))
+
+
+def _tasks(target: PixelGrid) -> int:
+    return min(MOST_TASKS, target.nrows * target.ncols // CELLS_A_TASK + 1)
+
+
+def _between(lo: Column, hi: Column) -> Column:
+    """A row for each whole number from ``lo`` to ``hi``, none if there is none."""
+    return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
+
+
+def _sent(valid: DataFrame, source: PixelGrid, target: PixelGrid, fr: Column, fc: Column, reach: int, weight: Callable[[Column], Column], band: list[str]) -> DataFrame:
+    """Weighted sums of a target in the source's projection: each pixel goes once to the blocks of the target that it
+    reaches, and is spread over their cells only there. A task holds the sums of its own blocks."""
+    sr, sc = F.col("sr") + 0.5, F.col("sc") + 0.5
+    ends = [target.pixel_of(*source.world_of(sr + k, sc + k)) for k in (-reach, reach)]
+    (top, left), (bottom, right) = ([x - 0.5 for x in end] for end in ends)
+    r0, r1 = F.greatest(F.ceil(top - SLACK), F.lit(0)), F.least(F.floor(bottom + SLACK), F.lit(target.nrows - 1))
+    c0, c1 = F.greatest(F.ceil(left - SLACK), F.lit(0)), F.least(F.floor(right + SLACK), F.lit(target.ncols - 1))
+    block = lambda x: F.shiftright(x, BLOCK_BITS)
+    first, last = lambda k: F.shiftleft(F.col(k), BLOCK_BITS), lambda k: F.shiftleft(F.col(k) + 1, BLOCK_BITS) - 1
+    dealt = valid.dropna(subset=["sr", "sc"]).where((r0 <= r1) & (c0 <= c1)).withColumn("br", _between(block(r0), block(r1))).withColumn("bc", _between(block(c0), block(c1)))
+    dealt = dealt.repartition(_tasks(target), "br", "bc")
+    spread = dealt.withColumn("r", _between(F.greatest(r0, first("br")), F.least(r1, last("br"))))
+    spread = spread.withColumn("w", weight(fr - F.col("sr"))).where("w <> 0")
+    spread = spread.withColumn("c", _between(F.greatest(c0, first("bc")), F.least(c1, last("bc"))))
+    spread = spread.withColumn("w", F.col("w") * weight(fc - F.col("sc"))).where("w <> 0")
+    return spread.groupBy("br", "bc", *band, "r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"))
+
+
+def _fetched(valid: DataFrame, asked: DataFrame, tasks: int, reach: int, weight: Callable[[Column], Column], band: list[str]) -> DataFrame:
+    """Weighted sums at any places of the source: a cell asks for the small tiles its kernel touches (at most four if
+    they are wider than the kernel), not for each pixel; sums of a tile are added up by cell."""
+    tiles = lambda f: _between(F.shiftright(F.floor(f) + 1 - reach, TILE_BITS), F.shiftright(F.floor(f) + reach, TILE_BITS))
+    asked = asked.withColumn("tr", tiles("fr")).withColumn("tc", tiles("fc")).repartition(tasks, "tr", "tc")
+    held = valid.withColumns({"tr": F.shiftright(F.col("sr").cast("long"), TILE_BITS), "tc": F.shiftright(F.col("sc").cast("long"), TILE_BITS)}).repartition(tasks, "tr", "tc")
+    dr, dc = F.col("fr") - F.col("sr"), F.col("fc") - F.col("sc")
+    near = asked.join(held, ["tr", "tc"]).where((F.abs(dr) < reach) & (F.abs(dc) < reach))
+    near = near.select("tr", "tc", *band, "r", "c", "v", (weight(dr) * weight(dc)).alias("w")).where("w <> 0")
+    parts = near.groupBy("tr", "tc", *band, "r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"))
+    return parts.repartition(tasks, "r", "c").groupBy(*band, "r", "c").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
